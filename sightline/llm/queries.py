@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from sightline.llm import mixing
+from sightline.llm import linededup, mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_mixing": mixing.op4_mixing,
+    "op6_line_dedup": linededup.op6_line_dedup,
+    "op8_simhash": simhash.op8_simhash,
+    "op9_packing": packing.op9_packing,
+    "op10_quality": quality.op10_quality,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_line_dedup": linededup.ORACLE_OP6,
+}
