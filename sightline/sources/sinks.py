@@ -1,0 +1,126 @@
+"""Writers: inventory, page cache, findings, links, pages, decision and report."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as S
+
+from sightline.functions.text import csv_safe
+from sightline.operators.adapt import LARGEST, SUMMED, TEXTS
+
+# The column order of the inventory, and the order of severities in reports.
+INVENTORY = (
+    "url", "title", "h1", "postType", "mechanismLane", "strategicCluster", "latestClicks", "latestImpressions", "topQueries",
+    "wordCount", "linkCount", "gscCtr", "gscPosition", "gscMetricSource", "ga4Sessions", "ga4EngagedSessions", "ga4Views",
+    "language", "sourceRecordId", "sourceDecision", "canonical", "indexability", "crawlDepth", "metaRobots", "contentType",
+    "crawlerStatus", "finalUrl", "sourceTypes", "sourceIds",
+)
+SEVERITIES = ("high", "medium", "low", "info")
+
+
+def printable(df: DataFrame) -> DataFrame:
+    """Columns as a spreadsheet takes them: nested values as JSON, formulas quoted, nothing null."""
+
+    def shown(f: S.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (S.ArrayType, S.StructType, S.MapType)):
+            c = F.to_json(c)
+        elif not isinstance(f.dataType, S.StringType):
+            return F.coalesce(c.cast("string"), F.lit("")).alias(f.name)
+        return F.coalesce(csv_safe(c), F.lit("")).alias(f.name)
+
+    return df.select([shown(f) for f in df.schema.fields])
+
+
+def write_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
+    rows = printable(df)
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+
+
+def inventory(records: DataFrame) -> DataFrame:
+    """Merged records in the inventory's columns, ordered by URL."""
+    made = {"topQueries": F.array_join("queries", " | "), "sourceTypes": F.array_join("types", ","), "sourceIds": F.array_join("ids", ",")}
+    known = {*TEXTS, *SUMMED, *LARGEST, "gscCtr", "gscPosition", "gscMetricSource", "url"}
+    return records.select([made[c].alias(c) if c in made else F.col(c) for c in INVENTORY if c in made or c in known]).orderBy("url")
+
+
+def write_page_cache(cache: DataFrame, path: str) -> None:
+    """One JSON row a URL, nulls left out; an earlier run's cache never survives."""
+    cache.orderBy("url").write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+
+
+def file_hashes(spark: SparkSession, path: str) -> list[str]:
+    """SHA-256 of each data file below a path, in name order. Files are hashed where they are."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").load(path)
+    return [r["h"] for r in files.select("path", F.sha2("content", 256).alias("h")).orderBy("path").collect()]
+
+
+def finding_counts(findings: DataFrame) -> DataFrame:
+    return findings.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def display_key(source: Column, target: Column, url: Column, urls: Column) -> Column:
+    full = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
+    pair = F.when(full(source).isNotNull() & full(target).isNotNull(), F.concat(source, F.lit(" ↔ "), target))
+    return F.coalesce(pair, full(url), full(target), full(source), F.array_join(F.slice(urls, 1, 2), ", "), F.lit(""))
+
+
+def top_findings(findings: DataFrame, n: int = 25) -> DataFrame:
+    """The report's first rows: by severity, then type."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
+    key = display_key(*[F.col(c) for c in ("source", "target", "url", "urls")])
+    ordered = findings.select("severity", "type", "status", key.alias("key"), F.substring("evidence", 1, 220).alias("evidence"), F.when(rank == 0, 9).otherwise(rank).alias("rank"))
+    return ordered.orderBy("rank", "type", "key", "evidence").limit(n).drop("rank")
+
+
+def report(decision: dict, findings: DataFrame) -> str:
+    """The audit in Markdown: decision, coverage, counts and the first findings."""
+    counts = finding_counts(findings).orderBy(F.col("n").desc(), "type").collect()
+    lines = ["# Site evidence audit", "", f"Decision: **{decision['decision']}**", "", decision["scope_warning"], "", "## Coverage", "", "| measure | value |", "|---|---|"]
+    lines += [f"| {k} | {v} |" for k, v in decision.items() if isinstance(v, (int, float, bool)) or v is None]
+    lines += ["", "## Findings", "", "| type | count |", "|---|---|", *[f"| {r['type']} | {r['n']} |" for r in counts], "", "## First findings", ""]
+    lines += [f"- **{r['severity']}** {r['type']} ({r['status']}): {r['key']} {r['evidence'] or ''}".rstrip() for r in top_findings(findings).collect()]
+    return "\n".join(lines) + "\n"
+
+
+def public_payload(decision: dict, findings: DataFrame, pages: DataFrame, most_pages: int = 250) -> dict:
+    """What a dashboard may show: allowed columns only, without paths, hashes or notes."""
+    kept = ("decision", "release_gate_passed", "live_change_authorized", "known_urls", "graph_eligible_urls", "html_pages", "html_coverage", "unclassified_count", "blocker_codes", "scope_warning")
+    shown = pages.orderBy(F.col("latest_impressions").desc(), "url").limit(most_pages).select("url", "title", "status", "lane", "depth", "inbound_total", "latest_impressions", "noindex")
+    kinds = finding_counts(findings).orderBy(F.col("n").desc(), "type").limit(9)
+    return {
+        "summary": {k: decision[k] for k in kept if k in decision} | {"completeness": completeness(decision)},
+        "finding_counts": {r["type"]: r["n"] for r in kinds.collect()},
+        "findings": [r.asDict() for r in top_findings(findings, 500).collect()],
+        "pages": [r.asDict() for r in shown.collect()],
+    }
+
+
+def completeness(decision: dict) -> str:
+    """A label for how complete the evidence is."""
+    if not decision.get("declared"):
+        return "sources not declared"
+    if decision.get("discovered"):
+        return "declared sources contradicted"
+    if not decision.get("source_universe_complete"):
+        return "declared sources incomplete"
+    return "complete within the declared scope" if decision.get("content_graph_complete") else "page content incomplete"
+
+
+def dashboard(payload: dict) -> str:
+    """One static page that carries the payload, encoded, and shows it as tables."""
+    import base64
+
+    data = base64.b64encode(json.dumps(payload, ensure_ascii=False, default=str).encode()).decode()
+    return (
+        "<!doctype html><meta charset=utf-8><title>Site evidence</title><h1>Site evidence</h1><pre id=s></pre>"
+        "<input id=q placeholder=filter><table id=f></table><script>"
+        f"const d=JSON.parse(new TextDecoder().decode(Uint8Array.from(atob('{data}'),c=>c.charCodeAt(0))));"
+        "s.textContent=JSON.stringify(d.summary,null,2);"
+        "const show=()=>{f.replaceChildren(...d.findings.filter(x=>JSON.stringify(x).toLowerCase().includes(q.value.toLowerCase())).map(x=>{"
+        "const r=document.createElement('tr');for(const k of ['severity','type','status','key','evidence']){const c=document.createElement('td');c.textContent=x[k]??'';r.append(c)}return r}))};"
+        "q.oninput=show;show()</script>"
+    )
