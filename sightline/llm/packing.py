@@ -39,24 +39,31 @@ LEAST_CUT = 16
 MERGE = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 900_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _workers: dict = {}
 
 
 class Tokens:
-    """Ids of texts. White space parts words for this vocabulary, so words are looked up one by one."""
+    """Ids of texts. White space parts words for this vocabulary, so words are looked up one by one.
+
+    A word that is not remembered is letters and a tail of ASCII marks, which the
+    tokenizer parts as well: the letters go straight to its merges and the tail is
+    a word of its own. Any other word goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.merge = self.tokenizer.model.tokenize
 
     def __call__(self, text: str) -> np.ndarray:
         if any(c in text for c in _ODD):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
         # Below U+0100 lower-casing is what the tokenizer does itself; other texts keep their case.
-        words = (text.lower() if _latin(text) else text).split()
+        latin = _latin(text)
+        words = (text.lower() if latin else text).split()
         known = self.known
         try:
             return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
@@ -65,11 +72,43 @@ class Tokens:
         distinct = set(words)
         if len(known) + len(distinct) > REMEMBERED:
             known.clear()
-        new = [w for w in distinct if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w in distinct:
+            if w not in known:
+                known[w] = self.word(w, latin)
         return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
 
+    def word(self, w: str, latin: bool) -> bytes:
+        letters = w.rstrip(_MARKS)
+        if latin and letters.isalpha():
+            found = self.known.get(letters)
+            if found is None:
+                shown = letters if letters.isascii() else "".join([_SHOWN[b] for b in letters.encode()])
+                found = self.known[letters] = np.array([t.id for t in self.merge(shown)], dtype="<u4").tobytes()
+            if letters is w or len(letters) == len(w):
+                return found
+            return found + self.whole(w[len(letters) :])
+        return self.whole(w)
+
+    def whole(self, w: str) -> bytes:
+        found = self.known.get(w)
+        if found is None:
+            found = self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return found
+
+
+#: Marks that the tokenizer parts from letters before them; an apostrophe is not one.
+_MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+
+
+def _shown_bytes() -> dict[int, str]:
+    """The character by which byte-level vocabularies show each byte: itself if printable, else one from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_SHOWN = _shown_bytes()
+
 
 #: str.split() takes these for white space, the tokenizer does not.
 _ODD = "\x1c\x1d\x1e\x1f"
