@@ -297,7 +297,7 @@ def decode(data: bytes) -> Iterator[Frame]:
             else:
                 mask = seen != transparent
                 area[mask, :3], area[mask, 3] = palette[seen[mask]], 255
-            yield Frame(samples, canvas.copy() if disposal in (2, 3) else canvas, delay * 10, disposal, transparent)
+            yield Frame(samples, canvas.copy(), delay * 10, disposal, transparent)
             if disposal == 2:
                 area[...] = 0
             elif disposal == 3:
