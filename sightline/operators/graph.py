@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sightline import config as C
 from sightline.config import SiteConfig
 from sightline.functions import text as T
+from sightline.operators.lineage import cut
 from sightline.operators.pages import finding
 
 
@@ -48,16 +49,11 @@ def depths(edges: DataFrame, nodes: DataFrame, start: DataFrame, most: int = 10_
     A level a round: the frontier meets the edges and leaves what was seen. The
     rows written each round are the new level's, so a round costs its frontier.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    ways = edges.select("source", "target").join(nodes.select(F.col("url").alias("target")), "target", "left_semi").distinct().checkpoint()
-    seen = level = start.select("url").distinct().select("url", F.lit(0).alias("depth")).checkpoint()
+    ways = cut(edges.select("source", "target").join(nodes.select(F.col("url").alias("target")), "target", "left_semi").distinct())
+    seen = level = cut(start.select("url").distinct().select("url", F.lit(0).alias("depth")))
     for hop in range(1, most + 1):
         reached = ways.join(level.select(F.col("url").alias("source")), "source").select(F.col("target").alias("url")).distinct()
-        level = reached.join(seen.select("url"), "url", "left_anti").select("url", F.lit(hop).alias("depth")).checkpoint()
+        level = cut(reached.join(seen.select("url"), "url", "left_anti").select("url", F.lit(hop).alias("depth")))
         if level.isEmpty():
             return seen
         seen = seen.unionByName(level)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sightline import config as C
 from sightline.config import SiteConfig
 from sightline.functions import text as T
+from sightline.operators.lineage import cut
 from sightline.operators.pages import exact_hash, finding
 
 
@@ -34,6 +35,8 @@ def near_pairs(signed: DataFrame, key: str, threshold: float, within: list[str],
     are part of the join, so only comparable pages meet.
     """
     rows = C.MINHASH_SIZE // C.BANDS
+    # Four reads below.
+    signed = cut(signed.select(key, "text_hash", *within, "sig"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(C.BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * rows + 1, rows)))
     # Only keys are dealt by band; signatures join the candidate pairs afterwards.
     banded = signed.select(key, "text_hash", *within, F.posexplode(bands).alias("band", "code"))
@@ -65,6 +68,7 @@ def overlap_pairs(signals: DataFrame, key: str, threshold: float, within: list[s
     A token is too frequent beyond max(200, a fifth of all signals). Jaccard is over
     the whole token sets, which join the pairs only after counting.
     """
+    signals = cut(signals)
     total = signals.agg(F.greatest(F.lit(200), F.floor(F.count(F.lit(1)) * 0.2)).alias("ceiling"))
     rare = token_frequency(signals).join(F.broadcast(total), F.col("df") <= F.col("ceiling")).select("token")
     each = signals.select(key, *within, F.explode("tokens").alias("token")).join(rare, "token")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from sightline.config import SiteConfig
 from sightline.functions import text as T
 from sightline.functions import urls as U
 from sightline.operators import gates, graph, merge, pages, similarity
+from sightline.operators.lineage import cut
 from sightline.sources import manifest, sinks
 from sightline.sources.exports import exact, inventory_rows, json_rows
 from sightline.sources.sitemaps import load_sitemaps
@@ -99,20 +99,20 @@ def run(spark: SparkSession, config: SiteConfig, records: DataFrame, cache: Data
     if cache is None:
         cache = spark.createDataFrame([], "url string, status int, final_url string, html string, html_complete boolean, truncated boolean, conflicting_snapshots boolean")
     last = 1_000_000
-    rows = records.unionByName(bare_records(cache, last))
-    known = merge.known_identities(rows)
+    rows = cut(records.unionByName(bare_records(cache, last)))
+    known = cut(merge.known_identities(rows))
     # Parsing is the one costly step; everything below reads its result.
-    analyses = pages.analyse(cache, known, config).persist(StorageLevel.MEMORY_AND_DISK)
-    links = pages.links_of(analyses, site).persist(StorageLevel.MEMORY_AND_DISK)
-    found = pages.discovered(known, analyses, links, site).persist(StorageLevel.MEMORY_AND_DISK)
+    analyses = cut(pages.analyse(cache, known, config))
+    links = cut(pages.links_of(analyses, site))
+    found = cut(pages.discovered(known, analyses, links, site))
     universe.discovered = found.count()
-    known = merge.known_identities(rows.unionByName(bare_records(found, last + 1))).persist(StorageLevel.MEMORY_AND_DISK)
+    known = cut(merge.known_identities(rows.unionByName(bare_records(found, last + 1))))
     state = universe_row(spark, universe)
     cover = gates.coverage(known, analyses, site, unresolved).withColumn("_one", F.lit(1))
     decision = gates.decide(cover.join(state.withColumn("_one", F.lit(1)), "_one").drop("_one")).first().asDict()
     complete = decision["release_gate_passed"]
 
-    counts = graph.counters(links)
+    counts = cut(graph.counters(links))
     start = analyses.where((F.col("url") == site) & F.col("html_available")).select("url")
     depth = graph.depths(links, analyses.select("url"), start)
     parts = [
@@ -121,7 +121,7 @@ def run(spark: SparkSession, config: SiteConfig, records: DataFrame, cache: Data
     ]
     if complete:
         parts.append(graph.opportunities(known, analyses, counts, links, config))
-    return Audit(reduce(DataFrame.unionByName, parts), page_rows(known, analyses, counts, depth), links, decision, universe)
+    return Audit(cut(reduce(DataFrame.unionByName, parts)), page_rows(known, analyses, counts, depth), links, decision, universe)
 
 
 def universe_row(spark: SparkSession, u: manifest.Universe) -> DataFrame:
