@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -161,9 +162,17 @@ def text_hash(tokens: Column) -> Column:
     return F.when(F.size(tokens) >= C.EXACT_TOKENS, F.sha2(F.array_join(tokens, " "), 256)).otherwise(F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: an expression that a lambda names is computed anew at each step."""
+    return F.transform(F.array(value), use)[0]
+
+
 def shingles(tokens: Column, size: int = C.SHINGLE_TOKENS) -> Column:
-    at = F.sequence(F.lit(1), F.size(tokens) - size + 1)
-    return F.when(F.size(tokens) >= size, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(tokens, i, size), " "))))
+    def run(t: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(t) - size + 1)
+        return F.when(F.size(t) >= size, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(t, i, size), " "))))
+
+    return let(tokens, run)
 
 
 def shingle_number(shingle: Column) -> Column:
@@ -177,7 +186,7 @@ SEEDS = [((0x9E3779B97F4A7C15 * (k + 1)) & (2**64 - 1)) & (2**60 - 1) for k in r
 def minhash(numbers: Column) -> Column:
     """MINHASH_SIZE smallest values of the shingle numbers, each under its own XOR seed."""
     seeds = F.array(*[F.lit(s).cast("long") for s in SEEDS])
-    return F.transform(seeds, lambda s: F.array_min(F.transform(numbers, lambda v: v.bitwiseXOR(s))))
+    return let(numbers, lambda n: F.transform(seeds, lambda s: F.array_min(F.transform(n, lambda v: v.bitwiseXOR(s)))))
 
 
 def signature_similarity(a: Column, b: Column) -> Column:
