@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sightline import config as C
 from sightline.functions import text as T
 from sightline.functions import urls as U
-from sightline.sources.exports import URL_KEYS, alias, keyed
+from sightline.sources.exports import URL_KEYS, alias
 
 # Output columns and the names under which exports carry them.
 TEXT_ALIASES = {
@@ -53,7 +53,7 @@ TEXTS = (*TEXT_ALIASES, "finalUrl")
 def distinct_rows(rows: DataFrame) -> DataFrame:
     """One of each set of equal rows of a file, the first."""
     fingerprint = F.sha2(F.to_json(F.array_sort(F.map_entries("raw"))), 256)
-    return rows.withColumn("_fp", fingerprint).groupBy("src_ord", "_fp").agg(F.min_by("raw", "row_ord").alias("raw"), F.min("row_ord").alias("row_ord")).drop("_fp")
+    return rows.withColumn("_fp", fingerprint).groupBy("src_ord", "_fp").agg(F.min_by("keyed", "row_ord").alias("keyed"), F.min("row_ord").alias("row_ord")).drop("_fp")
 
 
 def _address(kind: str, m: Column) -> tuple[Column, Column]:
@@ -76,9 +76,9 @@ def _address(kind: str, m: Column) -> tuple[Column, Column]:
 
 def adapt(rows: DataFrame, kind: str, site: str) -> DataFrame:
     """Records (url, texts, numbers, queries, snapshot) of the rows of one kind that belong to the site."""
-    m = F.col("m")
+    m = F.col("keyed")
     address, queries = _address(kind, m)
-    read = rows.withColumn("m", keyed(F.col("raw"))).withColumn("url", U.normalize_export(address, site, alias(m, "hostname", "host")))
+    read = rows.withColumn("url", U.normalize_export(address, site, alias(m, "hostname", "host")))
     read = read.where(F.coalesce(F.col("url"), F.lit("")) != "")
     if kind == "wordpress":
         read = read.where(~F.lower(F.trim(T.text_of(alias(m, "post_status", "postStatus", "status")))).isin(*C.NON_PUBLIC_STATUSES))
@@ -86,7 +86,7 @@ def adapt(rows: DataFrame, kind: str, site: str) -> DataFrame:
         kind_of = F.lower(F.trim(T.text_of(alias(m, *TEXT_ALIASES["contentType"]))))
         read = read.where(F.when(kind_of != "", kind_of.contains("html")).otherwise(T.is_page_like(F.col("url"))))
     ended = alias(m, "final address", "final url", "finalUrl")
-    read = read.withColumn("_own", F.coalesce(ended, F.lit("")) == "").withColumn("finalUrl", U.final_url(ended, F.col("url"), site))
+    read = read.withColumn("finalUrl", U.final_url(ended, F.col("url"), site))
     status = T.number(alias(m, "status code", "statusCode", "http status", "status")).cast("int")
     html = alias(m, "html", "rendered html", "body")
     evidence = (status >= 200) & (status < 300) & T.same_origin(F.col("finalUrl"), F.col("url"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sightline.functions import urls as U
 from sightline.operators import merge
 from sightline.operators.adapt import adapt, distinct_rows
+from sightline.operators.lineage import cut
 from sightline.sources import exports
 from sightline.sources.sitemaps import inspect_sitemap
 
@@ -81,7 +82,7 @@ def prepare(
             adapted.append(adapt(distinct_rows(raw), kind, site).select("*", *named))
     records = cache = None
     if adapted:
-        accepted = reduce(DataFrame.unionByName, adapted)
+        accepted = cut(reduce(DataFrame.unionByName, adapted))  # three reads below
         kinds = {r["kind"] for r in rows_out if "_ord" in r}
         parts = reduce(
             DataFrame.unionByName,

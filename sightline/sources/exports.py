@@ -1,7 +1,8 @@
 """Exports as rows of strings: CSV and JSON files, their kind and their shape.
 
-A scan gives ``raw`` (map of column name to text), ``src_ord`` and ``row_ord``;
-the names stay as they are, so that each side can match them in its own way.
+A scan gives ``raw`` (map of column name to text), ``keyed`` (the same under
+normalized names; of names that become equal, the last counts) and ``row_ord``, so
+that each side can match names in its own way.
 """
 
 from __future__ import annotations
@@ -27,20 +28,13 @@ URL_KEYS = (
 PREPARED_COLLECTIONS = ("rows", "pages", "items", "data")
 AUDITED_COLLECTIONS = ("pages", "items", "rows")
 
-RAW = "raw map<string,string>, row_ord long"
+RAW = "raw map<string,string>, keyed map<string,string>, row_ord long"
 
 
 def key_name(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "", name.lower())
 
 
-def keyed(raw: Column) -> Column:
-    """The row's map under normalized names; of names that become equal, the last counts."""
-    entries = F.transform(F.map_entries(raw), lambda e: F.struct(F.regexp_replace(F.lower(e["key"]), "[^a-z0-9]+", "").alias("key"), e["value"].alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(last)
-
-
 def alias(m: Column, *names: str) -> Column:
     """The first of the names whose value is not empty, in a map with normalized names."""
     found = [m[key_name(n)] for n in names]
@@ -56,8 +50,9 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     table = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
     if not table.columns:
         return spark.createDataFrame([], RAW)
-    pairs = [x for c in table.columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
-    return table.select(F.create_map(*pairs).alias("raw"), F.monotonically_increasing_id().alias("row_ord"))
+    pairs = lambda named: [x for k, c in named.items() for x in (F.lit(k), F.col(f"`{c}`").cast("string"))]
+    raw, keyed = {c: c for c in table.columns}, {key_name(c): c for c in table.columns}
+    return table.select(F.create_map(*pairs(raw)).alias("raw"), F.create_map(*pairs(keyed)).alias("keyed"), F.monotonically_increasing_id().alias("row_ord"))
 
 
 def _text(value: object) -> str | None:
@@ -89,7 +84,9 @@ def json_rows(spark: SparkSession, path: str, names: tuple[str, ...] = PREPARED_
                 rows = collection(json.loads(content.decode("utf-8-sig")), names, lone)
                 for k in range(0, len(rows), 1000):
                     maps = [[(str(a), _text(b)) for a, b in r.items()] for r in rows[k : k + 1000]]
-                    yield pa.RecordBatch.from_arrays([pa.array(maps, pa.map_(pa.string(), pa.string())), pa.array(range(k, k + len(maps)), pa.int64())], ["raw", "row_ord"])
+                    keyed = [list({key_name(a): b for a, b in m}.items()) for m in maps]
+                    texts = pa.map_(pa.string(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(maps, texts), pa.array(keyed, texts), pa.array(range(k, k + len(maps)), pa.int64())], ["raw", "keyed", "row_ord"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RAW)
 
