@@ -1 +1 @@
-
+"""Whole plans: preparation, audit and registered queries."""

@@ -15,7 +15,7 @@ from sightline.functions import urls as U
 from sightline.operators import gates, graph, merge, pages, similarity
 from sightline.operators.lineage import cut
 from sightline.sources import manifest, sinks
-from sightline.sources.exports import exact, inventory_rows, json_rows
+from sightline.sources.exports import document_value, exact, inventory_rows, json_rows
 from sightline.sources.sitemaps import load_sitemaps
 
 KNOWN = "url, title, h1, cluster, post_type, top_queries, lane, latest_clicks, latest_impressions, since_work_clicks, since_work_impressions, inventory_word_count, inventory_link_count, in_sitemap, src_ord, row_ord"
@@ -60,15 +60,14 @@ def bare_records(urls: DataFrame, src_ord: int, in_sitemap: bool = False) -> Dat
 def page_cache(spark: SparkSession, path: str, site: str) -> DataFrame:
     """Snapshots of a saved cache, one a URL: of rows with the same URL the last."""
     rows = json_rows(spark, path, ("pages", "rows"), lone=False)
-    head = spark.read.format("binaryFile").load(path).select(F.try_parse_json(F.decode("content", "UTF-8")).alias("v"))
-    default = head.select(T.boolish(F.try_variant_get("v", "$.html_complete", "string")).alias("default_complete"))
+    default = T.boolish(F.lit(document_value(spark, path, "html_complete")))
     raw = F.col("raw")
     told = exact(raw, *C.HTML_COMPLETE_FIELDS)
-    read = rows.join(F.broadcast(default)).withColumn("url", U.normalize(exact(raw, *C.URL_FIELDS), site))  # one row, the file's own default
+    read = rows.withColumn("url", U.normalize(exact(raw, *C.URL_FIELDS), site))
     read = read.where((F.coalesce(F.col("url"), F.lit("")) != "") & T.same_site(F.col("url"), F.lit(site)))
     snapshot = F.struct(
         T.numeric(raw["status"]).cast("int").alias("status"), U.normalize(F.coalesce(exact(raw, "final_url"), exact(raw, "finalUrl"), F.col("url")), site).alias("final_url"),
-        F.coalesce(exact(raw, *C.HTML_FIELDS), F.lit("")).alias("html"), F.when(told.isNotNull(), T.boolish(told)).otherwise(F.coalesce("default_complete", F.lit(False))).alias("html_complete"),
+        F.coalesce(exact(raw, *C.HTML_FIELDS), F.lit("")).alias("html"), F.when(told.isNotNull(), T.boolish(told)).otherwise(default).alias("html_complete"),
         T.boolish(raw["truncated"]).alias("truncated"), T.boolish(raw["conflicting_snapshots"]).alias("conflicting_snapshots"),
     )
     return read.select("url", "row_ord", snapshot.alias("s")).groupBy("url").agg(F.max_by("s", "row_ord").alias("s")).select("url", "s.*")

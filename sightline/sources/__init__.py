@@ -1 +1 @@
-
+"""Reading exports, inventories, page caches, sitemaps and manifests; writing results."""

@@ -91,6 +91,18 @@ def json_rows(spark: SparkSession, path: str, names: tuple[str, ...] = PREPARED_
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RAW)
 
 
+def document_value(spark: SparkSession, path: str, name: str) -> str | None:
+    """A value of a JSON document's own object, read where the file is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [json.loads(c.decode("utf-8-sig")) for c in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_text(d.get(name)) if isinstance(d, dict) else None for d in data], pa.string())], ["value"])
+
+    row = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string").first()
+    return row[0] if row else None
+
+
 def export_rows(spark: SparkSession, path: str) -> DataFrame:
     if path.lower().endswith(".csv"):
         return csv_rows(spark, path)
