@@ -25,6 +25,8 @@ Defined results
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,22 +74,24 @@ def paths(messages: DataFrame, most: int = 1) -> DataFrame:
     )
     leaves = nodes.select(*key, "node").join(state.where("hop is not null").select(*key, F.col("hop").alias("node")).distinct(), [*key, "node"], "left_anti")
     leaves = cut(leaves)
-    jumps = []
+    jumps, settled, going = [], [state.where("hop is null")], state.where("hop is not null")
     largest = state.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
     for _ in range(max(1, largest).bit_length()):
-        if not state.where("hop is not null").limit(1).count():
+        # Only messages that have not met their root yet jump on; the settled ones are what they may land on.
+        if going.isEmpty():
             break
-        jumps.append(state.where("hop is not null").select(*key, "node", "hop"))
-        up = state.select(*key, F.col("node").alias("hop"), F.col("hop").alias("_hop"), F.col("depth").alias("_depth"), F.col("score").alias("_score"), F.col("chars").alias("_chars"))
+        jumps.append(going.select(*key, "node", "hop"))
+        there = reduce(DataFrame.unionByName, settled, going)
+        up = there.select(*key, F.col("node").alias("hop"), F.col("hop").alias("_hop"), F.col("depth").alias("_depth"), F.col("score").alias("_score"), F.col("chars").alias("_chars"))
         state = cut(
-            state.join(up, [*key, "hop"], "left").select(
-                *key, "node", F.col("_hop").alias("hop"),
-                (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-                (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"),
-                (F.col("chars") + F.coalesce("_chars", F.lit(0))).alias("chars"),
+            going.join(up, [*key, "hop"]).select(
+                *key, "node", F.col("_hop").alias("hop"), (F.col("depth") + F.col("_depth")).alias("depth"),
+                (F.col("score") + F.col("_score")).alias("score"), (F.col("chars") + F.col("_chars")).alias("chars"),
             )
         )
-    rooted = state.where("hop is null")
+        settled.append(state.where("hop is null"))
+        going = state.where("hop is not null")
+    rooted = reduce(DataFrame.unionByName, settled)
     best = Window.partitionBy(*key).orderBy(F.col("score").desc(), "node")
     chosen = rooted.join(leaves, [*key, "node"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
     on_path = chosen.select(*key, F.col("node").alias("leaf"), "rank", "node")
