@@ -196,20 +196,9 @@ def _broadcast(spark: SparkSession, index: DataFrame, part_bytes: int) -> list:
     return parts
 
 
-_loaded: dict = {}
-
-
-def _open(part) -> list:
-    """A broadcast part's shards, unpacked once for each Python worker."""
-    key = id(part.value)
-    if _loaded.get("owner", {}).get(key) is not part.value:
-        _loaded.setdefault("owner", {})[key] = part.value
-        _loaded[key] = [(k, pickle.loads(blob)) for k, blob in part.value]
-    return _loaded[key]
-
-
 def _dropper(parts: list, n_shards: int):
     """A function from (doc_ids, texts) to each document's lines and the mask of those that go."""
+    opened: list[tuple[int, Shard]] = []  # unpacked once for each task
 
     def run(ids: list, bodies: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
         split = [line_hashes(b) for b in bodies]
@@ -219,12 +208,13 @@ def _dropper(parts: list, n_shards: int):
         nobody = np.repeat(np.array([i is None for i in ids], dtype=bool), [len(x[1]) for x in split])
         gone = np.zeros(len(h), dtype=bool)
         home = h[:, 0] % n_shards
-        for part in parts:
-            for k, shard in _open(part):
-                at = np.flatnonzero(home == k)
-                if len(at):
-                    ok, keeper = shard.probe(h[at, 0], h[at, 1])
-                    gone[at] = ok & ((keeper != owner[at]) | nobody[at])
+        if not opened:
+            opened.extend((k, pickle.loads(blob)) for part in parts for k, blob in part.value)
+        for k, shard in opened:
+            at = np.flatnonzero(home == k)
+            if len(at):
+                ok, keeper = shard.probe(h[at, 0], h[at, 1])
+                gone[at] = ok & ((keeper != owner[at]) | nobody[at])
         done = 0
         for lines, at, _ in split:
             mask = np.zeros(len(lines), dtype=bool)
