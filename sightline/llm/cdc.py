@@ -15,7 +15,7 @@ that a third of all documents share is a row a task, never a group in one task.
 Defined results
   * null or empty text: no chunks, nothing repeats;
   * a null doc_id orders last, so it keeps a chunk only if no other document has it;
-  * repeated rows and doc_ids: occurrences of their own, in an order by text hash
+  * repeated rows and doc_ids: occurrences of their own, in an order by row
     and place; exact copies repeat from end to end;
   * chunks are whole words; white space between words does not count;
   * extra columns are passed through; empty table: no rows.
@@ -121,12 +121,14 @@ def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     path = f"{root}/chunks-{uuid4().hex}"
     chunked(docs).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
     table = spark.read.parquet(path)
-    place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash", "row", "at")
-    each = table.select("doc_id", "text_hash", "row", F.posexplode(F.arrays_zip("d1", "d2")).alias("at", "d"))
-    each = each.select("doc_id", "text_hash", "row", "at", F.col("d.d1").alias("d1"), F.col("d.d2").alias("d2"))
+    # Nothing but keys is dealt by digest: no null doc_id needs a flag, as nulls take the largest number.
+    place = F.struct("doc", "row", "at")
+    each = table.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "row", F.posexplode(F.arrays_zip("d1", "d2")).alias("at", "d"))
+    each = each.select("doc", "row", "at", F.col("d.d1").alias("d1"), F.col("d.d2").alias("d2"))
     firsts = each.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     met = each.join(firsts, ["d1", "d2"]).where(place != F.col("first"))
-    again = met.select("row", "at", F.col("first.doc_id").alias("first_doc_id"))
+    owner = F.when(F.col("first.doc") < F.lit(2**63 - 1), F.col("first.doc"))
+    again = met.select("row", "at", owner.alias("first_doc_id"))
     lists = again.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "first_doc_id"))).alias("again"))
     back = lists.join(table.select("row", "doc_id", "text_hash", "begin", "end", "words"), "row")
     # Neighbouring chunks have the same difference of chunk number and place in the list.
