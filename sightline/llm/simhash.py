@@ -37,7 +37,7 @@ BITS = 2
 #: Fingerprints in one task's pair of nodes, at most.
 TASK = 50_000
 #: Node pairs walked at once.
-FRONTIER = 1 << 17
+FRONTIER = 1 << 13
 #: Shingles hashed at once, a bound on the memory of one long text.
 SLICE = 100_000
 
