@@ -56,9 +56,8 @@ def first_of(*columns: Column) -> Column:
 
 def words(normalized: Column) -> Column:
     """Words of text that is in normal form already: lower case, longer than one, no stop words."""
-    stop = F.array(*[F.lit(w) for w in C.STOPWORDS])
     found = F.regexp_extract_all(F.lower(normalized), F.lit(_TOKEN), 0)
-    return F.filter(found, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(*C.STOPWORDS))
 
 
 @F.pandas_udf(S.StringType())
@@ -159,7 +158,7 @@ def same_origin(a: Column, b: Column) -> Column:
 
 
 def text_hash(tokens: Column) -> Column:
-    return F.when(F.size(tokens) >= C.EXACT_TOKENS, F.sha2(F.array_join(tokens, " "), 256)).otherwise(F.lit(""))
+    return let(tokens, lambda t: F.when(F.size(t) >= C.EXACT_TOKENS, F.sha2(F.array_join(t, " "), 256)).otherwise(F.lit("")))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
