@@ -6,7 +6,8 @@ boundaries hang on the bytes nearby only and come back soon after an insertion.
 Chunks are compared by a 128-bit digest of their words. Every digest keeps its
 first occurrence (smallest doc_id, then place); runs of neighbouring later
 occurrences that are long enough are repeated passages, which ``without_repeats``
-cuts out of the text.
+cuts out of the text. A passage may be glued of stretches that different rows
+keep; each of them is named with its keeper.
 
 One document's digests travel as arrays, written once to the shared folder.
 Counting them combines on the map side and joins split hot keys, so a passage
@@ -107,11 +108,12 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """doc_id, text_hash, row, begin, n_bytes, n_words, first_doc_id for each repeated passage.
+    """doc_id, text_hash, row, begin, n_bytes, n_words, first_doc_id, keepers for each repeated passage.
 
     ``begin`` and ``n_bytes`` are bytes of the text; ``first_doc_id`` is the
     document that keeps the passage's first chunk; ``row`` tells rows apart that
-    share doc_id and text.
+    share doc_id and text. ``keepers`` has begin, n_bytes, n_words, first_doc_id
+    of each stretch of the passage whose chunks one row keeps, in their order.
     """
     spark = prepare(docs.sparkSession)
     root = spark.sparkContext.getCheckpointDir()
@@ -128,18 +130,31 @@ def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     firsts = each.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     met = each.join(firsts, ["d1", "d2"]).where(place != F.col("first"))
     owner = F.when(F.col("first.doc") < F.lit(2**63 - 1), F.col("first.doc"))
-    again = met.select("row", "at", owner.alias("first_doc_id"))
-    lists = again.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "first_doc_id"))).alias("again"))
+    again = met.select("row", "at", owner.alias("first_doc_id"), F.col("first.row").alias("first_row"))
+    lists = again.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "first_doc_id", "first_row"))).alias("again"))
     back = lists.join(table.select("row", "doc_id", "text_hash", "begin", "end", "words"), "row")
     # Neighbouring chunks have the same difference of chunk number and place in the list.
+    each = back.select("row", "doc_id", "text_hash", "begin", "end", "words", F.posexplode("again").alias("k", "c"))
+    each = each.select("row", "doc_id", "text_hash", (F.col("c.at") - F.col("k")).alias("run"), "c.at", "c.first_doc_id", "c.first_row", F.expr("begin[c.at]").alias("b"), F.expr("end[c.at]").alias("e"), F.expr("words[c.at]").alias("w"))
+    # A stretch begins where the keeper changes; all is dealt by row already.
+    before = Window.partitionBy("row").orderBy("at")
+    turn = F.coalesce(F.col("first_row") != F.lag("first_row").over(before), F.lit(True)).cast("int")
+    own = ("row", "doc_id", "text_hash", "run")
+    stretches = (
+        each.withColumn("turn", turn)
+        .withColumn("stretch", F.sum("turn").over(before))
+        .groupBy(*own, "stretch")
+        .agg(F.min("b").alias("begin"), F.max("e").alias("_end"), F.sum("w").alias("n_words"), F.first("first_doc_id").alias("first_doc_id"))
+    )
     runs = (
-        back.select("row", "doc_id", "text_hash", "begin", "end", "words", F.posexplode("again").alias("k", "c"))
-        .select("row", "doc_id", "text_hash", (F.col("c.at") - F.col("k")).alias("run"), "c.at", "c.first_doc_id", F.expr("begin[c.at]").alias("b"), F.expr("end[c.at]").alias("e"), F.expr("words[c.at]").alias("w"))
-        .groupBy("row", "doc_id", "text_hash", "run")
-        .agg(F.min("b").alias("begin"), F.max("e").alias("_end"), F.sum("w").alias("n_words"), F.min_by("first_doc_id", "at").alias("first_doc_id"))
+        stretches.groupBy(*own)
+        .agg(
+            F.min("begin").alias("begin"), F.max("_end").alias("_end"), F.sum("n_words").alias("n_words"), F.min_by("first_doc_id", "begin").alias("first_doc_id"),
+            F.sort_array(F.collect_list(F.struct(F.col("begin").cast("long").alias("begin"), (F.col("_end") - F.col("begin")).cast("long").alias("n_bytes"), "n_words", "first_doc_id"))).alias("keepers"),
+        )
         .where(F.col("n_words") >= passage_words)
-    )
-    return runs.select("doc_id", "text_hash", "row", F.col("begin").cast("long").alias("begin"), (F.col("_end") - F.col("begin")).cast("long").alias("n_bytes"), "n_words", "first_doc_id")
+    )
+    return runs.select("doc_id", "text_hash", "row", F.col("begin").cast("long").alias("begin"), (F.col("_end") - F.col("begin")).cast("long").alias("n_bytes"), "n_words", "first_doc_id", "keepers")
 
 
 def without_repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
@@ -172,4 +187,4 @@ def without_repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> Data
 
 
 def op5_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(docs_of(spark, sf_dir)).select("doc_id", "begin", "n_bytes", "n_words", "first_doc_id")
+    return repeats(docs_of(spark, sf_dir)).select("doc_id", "begin", "n_bytes", "n_words", "first_doc_id", "keepers")

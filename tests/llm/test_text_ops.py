@@ -300,6 +300,19 @@ def test_chunking(make_docs, odd_rows):
     assert cdc.repeats(make_docs([])).collect() == []
 
 
+def test_every_keeper_of_a_run_is_named(make_docs):
+    """Repeated passages that follow each other directly: one run, and each passage's keeper with its stretch."""
+    parts = {k: " ".join(f"part{k}word{j}" for j in range(70)) for k in (1, 2, 3)}
+    # Ends where a chunk ends by its hash, so that no chunk reaches into the next passage.
+    parts = {k: t[: cdc.chunks(t.encode())[1][-2]] for k, t in parts.items()}
+    rows = [(k, parts[k]) for k in (1, 2, 3)] + [(10, " ".join(parts[k] for k in (3, 1, 2))), (None, parts[1])]
+    got = {r.doc_id: r for r in cdc.repeats(make_docs(rows)).collect()}
+    for d, owners in ((10, [3, 1, 2]), (None, [1])):
+        spans, t = got[d].keepers, dict(rows)[d]
+        assert [t[s.begin : s.begin + s.n_bytes] for s in spans] == [parts[k] for k in owners] and [s.first_doc_id for s in spans] == owners
+        assert sum(s.n_words for s in spans) == got[d].n_words and (got[d].begin, got[d].n_bytes, got[d].first_doc_id) == (0, len(t), owners[0])
+
+
 @given(st.binary(max_size=300))
 @settings(max_examples=60, deadline=None)
 def test_chunks_cover_all_words(data):
