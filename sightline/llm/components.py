@@ -1,31 +1,54 @@
-"""Connected components of a graph of links, by smallest label and shortcuts."""
+"""Connected components of a graph of links, by contraction along smallest neighbours."""
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.session import cut
+from sightline.llm.session import prepare
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """The rows written and read again: sizes are then the files', while a checkpoint's estimate squares at each join."""
+    spark = prepare(df.sparkSession)
+    path = f"{spark.sparkContext.getCheckpointDir()}/links-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, label for every node of ``links`` (a, b long); label: the smallest node reachable.
 
-    Each round takes the smallest label among a node's neighbours (partial
-    aggregation, so a hub costs one row a task) and then the label's own label,
-    so rounds grow with the logarithm of the longest chain. Rows are two numbers
-    wide and each round's are checkpointed.
+    Each round every node points to its smallest neighbour (partial aggregation,
+    so a hub costs one row a task). Circles of such pointers are pairs only, whose
+    smaller node becomes a root; the trees are contracted to their roots by pointer
+    doubling, and links between roots go on. A tree has two nodes at least, so each
+    round leaves half of the nodes at most: rounds, and doublings within one, grow
+    with the logarithm of the number of nodes, in whatever order labels lie.
     """
-    both = cut(links.select("a", "b").where("a <> b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        step = cut(step)
-        ahead = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = cut(step.join(ahead, "label").select("node", F.least("label", "further").alias("label"), "was"))
-        moved = step.where("label <> was").limit(1).count()
-        labels = step.select("node", "label")
-        if not moved:
-            return labels
-    raise RuntimeError("components did not settle")
+    given = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = _kept(given.where("a <> b").distinct())
+    labels = None
+    while both.limit(1).count():
+        up = both.groupBy("a").agg(F.min("b").alias("p"))
+        back = up.select(F.col("a").alias("p"), F.col("p").alias("pp"))
+        up = _kept(up.join(back, "p").select(F.col("a").alias("node"), F.when((F.col("pp") == F.col("a")) & (F.col("a") < F.col("p")), F.col("a")).otherwise(F.col("p")).alias("label")))
+        while True:
+            ahead = up.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            up = _kept(up.join(ahead, "label").select("node", F.col("further").alias("label"), (F.col("further") != F.col("label")).alias("moved")))
+            moved = up.where("moved").limit(1).count()
+            up = up.select("node", "label")
+            if not moved:
+                break
+        root = lambda c: up.select(F.col("node").alias(c), F.col("label").alias(f"{c}_root"))  # noqa: B023, E731
+        both = _kept(both.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a <> b").distinct())
+        if labels is None:
+            labels = up
+        else:
+            labels = _kept(labels.join(up.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left").select("node", F.coalesce("further", "label").alias("label")))
+    if labels is None:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("label")).where("false")
+    least = labels.groupBy("label").agg(F.min("node").alias("least"))
+    return labels.join(least, "label").select("node", F.col("least").alias("label"))

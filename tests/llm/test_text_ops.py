@@ -144,6 +144,17 @@ def test_components_of_a_long_chain(spark):
     assert got == {k: 0 for k in range(41)} | {90: 90, 100: 90}
 
 
+@pytest.mark.parametrize("n", [3000])
+def test_components_of_shuffled_chains(spark, n):
+    """Labels in random order along a chain, signed as fingerprints are: rounds must not grow with its length."""
+    draw = np.random.default_rng(7)
+    names = (draw.permutation(4 * n)[: 2 * n] - 2 * n).tolist()
+    one, two = names[:n], names[n:]
+    links = spark.createDataFrame([(a, b) for x in (one, two) for a, b in zip(x, x[1:])], "a long, b long")  # noqa: B905
+    got = {r.node: r.label for r in components(links).collect()}
+    assert got == {k: min(one) for k in one} | {k: min(two) for k in two}
+
+
 # -- mixing
 
 
