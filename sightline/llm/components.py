@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.session import prepare
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """The rows written and read again: sizes are then the files', while a checkpoint's estimate squares at each join."""
-    spark = prepare(df.sparkSession)
-    path = f"{spark.sparkContext.getCheckpointDir()}/links-{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from sightline.llm.hot import hot_join
+from sightline.llm.session import kept
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,28 +18,32 @@ def components(links: DataFrame) -> DataFrame:
     doubling, and links between roots go on. A tree has two nodes at least, so each
     round leaves half of the nodes at most: rounds, and doublings within one, grow
     with the logarithm of the number of nodes, in whatever order labels lie.
+
+    No task gets a hub's links: what is known of hubs is sent to their links.
     """
     given = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = _kept(given.where("a <> b").distinct())
+    both = kept(given.where("a <> b").distinct(), "links")
+    named = lambda df, a, b: df.select(F.col("node").alias(a), F.col("label").alias(b))
     labels = None
-    while both.limit(1).count():
-        up = both.groupBy("a").agg(F.min("b").alias("p"))
-        back = up.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        up = _kept(up.join(back, "p").select(F.col("a").alias("node"), F.when((F.col("pp") == F.col("a")) & (F.col("a") < F.col("p")), F.col("a")).otherwise(F.col("p")).alias("label")))
-        while True:
-            ahead = up.select(F.col("node").alias("label"), F.col("label").alias("further"))
-            up = _kept(up.join(ahead, "label").select("node", F.col("further").alias("label"), (F.col("further") != F.col("label")).alias("moved")))
-            moved = up.where("moved").limit(1).count()
-            up = up.select("node", "label")
-            if not moved:
-                break
-        root = lambda c: up.select(F.col("node").alias(c), F.col("label").alias(f"{c}_root"))  # noqa: B023, E731
-        both = _kept(both.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a <> b").distinct())
-        if labels is None:
-            labels = up
-        else:
-            labels = _kept(labels.join(up.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left").select("node", F.coalesce("further", "label").alias("label")))
+    while total := both.count():
+        least = kept(both.groupBy("a").agg(F.min("b").alias("p")), "links")
+        met = hot_join(least, least.select(F.col("a").alias("p"), F.col("p").alias("pp")), ["p"], total)
+        circle = (F.col("pp") == F.col("a")) & (F.col("a") < F.col("p"))
+        up = kept(met.select(F.col("a").alias("node"), F.when(circle, F.col("a")).otherwise(F.col("p")).alias("label")), "links")
+        moved = True
+        while moved:
+            step = hot_join(up, named(up, "label", "further"), ["label"], total)
+            step = kept(step.select("node", F.col("further").alias("label"), (F.col("further") != F.col("label")).alias("moved")), "links")
+            moved, up = step.where("moved").limit(1).count(), step.select("node", "label")
+        for side in ("a", "b"):
+            both = hot_join(both, named(up, side, "_root"), [side], total).withColumn(side, F.col("_root")).select("a", "b")
+        both = kept(both.where("a <> b").distinct(), "links")
+        labels = up if labels is None else kept(_relabelled(labels, named(up, "label", "further")), "links")
     if labels is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("label")).where("false")
-    least = labels.groupBy("label").agg(F.min("node").alias("least"))
-    return labels.join(least, "label").select("node", F.col("least").alias("label"))
+    return _relabelled(labels, labels.groupBy("label").agg(F.min("node").alias("further")))
+
+
+def _relabelled(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """node, label with each label replaced by its row in ``new`` (label, further), if it has one."""
+    return hot_join(labels, new, ["label"], labels.count(), "left").select("node", F.coalesce("further", "label").alias("label"))
