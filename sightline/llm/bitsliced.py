@@ -7,24 +7,28 @@ set bits of its own components, added with bitmap arithmetic (full adders over
 words of 64 rows); the sums are themselves slices. The top rows are then taken
 from the most significant slice downward: rows that are surely in, rows still
 tied, and when the slices end the boundary rows, all of equal score, are resolved
-exactly by their ids.
+exactly by their ids. Sums are as wide as they need: only a score that is
+returned must fit into 64 bits, and the job fails if one does not.
 
-The queries go to the executors in parts of bounded size, one pass over the
-candidates for each part; a task keeps one block of candidates at a time and
+The index is made once, as rows of blocks of bounded bytes; where the queries take
+more than one pass it is written to the shared folder. The queries go to the
+executors in parts of bounded size, one pass over the index for each part; a task
 returns at most k rows for each query and block.
 
 Defined results
-  * vectors null, empty or holding null or non-finite components, and rows
-    without an id, take no part; nor do vectors with a component of 2**27 or more
-    once quantised, whose products would leave 64 bits;
+  * vectors null or holding null or non-finite components, and rows without an
+    id, take no part; a vector without components does, with score 0;
   * vectors of unequal lengths: missing components count as zero;
+  * components of any finite size: rows with large ones form blocks of their own;
   * equal scores: the smaller id first; repeated rows: each is a candidate;
     a query id that occurs more than once: its smallest vector asks once;
-  * fewer than k candidates: all of them; empty table: no rows.
+  * fewer than k candidates: all of them; empty table: no rows;
+  * extra columns: left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +36,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.session import cut, docs_of, prepare
+from sightline.llm.session import cut, docs_of, kept, prepare
 
 SCALE = 1024
 K = 10
 #: Rows of one block of the index and queries of one pass.
 BLOCK_ROWS = 1 << 16
 PASS_QUERIES = 1 << 14
-LARGEST = 2**27
+#: Bytes of one block's slices, about.
+BLOCK_BYTES = 16 << 20
+#: Components beyond this many bits make a row a wide one.
+WIDE_BITS = 30
 SEED = 3
+LEAST, MOST = -(2**63), 2**63 - 1
 
 Slices = dict[int, np.ndarray]
 
@@ -48,17 +56,24 @@ Slices = dict[int, np.ndarray]
 class BitSliced:
     """Bitmaps (uint64 words over rows) of every bit of every attribute of a block of integers."""
 
-    def __init__(self, values: np.ndarray) -> None:
-        self.rows, self.width = values.shape
-        self.words = -(-self.rows // 64)
+    def __init__(self, rows: int, slices: np.ndarray) -> None:
+        self.rows, self.slices = rows, slices
+        self.width, self.bits, self.words = slices.shape
+
+    @classmethod
+    def of(cls, values: np.ndarray) -> BitSliced:
+        """``values``: rows x attributes, of int64 or of Python's integers."""
+        rows, width = values.shape
+        words = -(-rows // 64)
         low, high = (int(f(initial=0)) for f in (values.min, values.max))
-        self.bits = max(high.bit_length(), (-low - 1).bit_length() if low < 0 else 0) + 1
-        padded = np.zeros((self.words * 64, self.width), dtype=np.int64)
-        padded[: self.rows] = values
-        self.slices = np.empty((self.width, self.bits, self.words), dtype=np.uint64)
-        for b in range(self.bits):
+        bits = max(high.bit_length(), (-low - 1).bit_length() if low < 0 else 0) + 1
+        padded = np.zeros((words * 64, width), dtype=values.dtype)
+        padded[:rows] = values
+        slices = np.empty((width, bits, words), dtype=np.uint64)
+        for b in range(bits):
             packed = np.packbits(((padded >> b) & 1).astype(bool).T, axis=1, bitorder="little")
-            self.slices[:, b] = np.ascontiguousarray(packed).view("<u8")
+            slices[:, b] = np.ascontiguousarray(packed).view("<u8").reshape(width, words)
+        return cls(rows, slices)
 
     def products(self, query: np.ndarray) -> tuple[np.ndarray, int]:
         """Slices (least significant first) of query . row + offset, which is never negative, and the offset.
@@ -125,8 +140,9 @@ class BitSliced:
             edge = edge[np.lexsort((edge, ids[edge]))][: k - n]
             at = np.concatenate((at, edge))
         bit = (sums[:, at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-        scores = (bit.astype(np.int64) << np.arange(len(sums))[:, None]).sum(axis=0) - offset
-        return at, scores
+        if len(sums) <= 62:
+            return at, (bit.astype(np.int64) << np.arange(len(sums))[:, None]).sum(axis=0) - offset
+        return at, np.array([sum(1 << int(w) for w in np.flatnonzero(column)) - offset for column in bit.T], dtype=object)
 
 
 def _rows_of(bitmap: np.ndarray) -> np.ndarray:
@@ -138,75 +154,113 @@ def _rows_of(bitmap: np.ndarray) -> np.ndarray:
     return words[w] * 64 + b
 
 
-def quantised(batch: pa.RecordBatch, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
-    """ids and integer vectors of the batch's rows that take part (zero-padded to one width)."""
+def _whole(x: float, scale: int) -> int:
+    """floor(scale * x), exactly."""
+    return int(x) * scale if abs(x) >= 2.0**53 else math.floor(scale * x)
+
+
+def quantised(batch: pa.RecordBatch, scale: int = SCALE) -> tuple[list[int], list[np.ndarray]]:
+    """ids and integer vectors of the batch's rows that take part; wide ones as Python's integers."""
     ids, rows = [], []
     for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        if i is None or not v.is_valid or not len(v):
+        if i is None or not v.is_valid:
             continue
         values = v.values
         if values.null_count:
             continue
-        x = np.floor(scale * values.to_numpy(zero_copy_only=False).astype(np.float64))
-        if np.isfinite(x).all() and (np.abs(x) < LARGEST).all():
-            ids.append(i)
-            rows.append(x.astype(np.int64))
-    out = np.zeros((len(rows), max(map(len, rows), default=0)), dtype=np.int64)
+        x = values.to_numpy(zero_copy_only=False).astype(np.float64)
+        if not np.isfinite(x).all():
+            continue
+        ids.append(i)
+        if len(x) and np.abs(x).max() * scale >= 2.0**WIDE_BITS:
+            rows.append(np.array([_whole(c, scale) for c in x.tolist()], dtype=object))
+        else:
+            rows.append(np.floor(scale * x).astype(np.int64))
+    return ids, rows
+
+
+def _table(rows: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(rows), max(map(len, rows), default=0)), dtype=rows[0].dtype)
     for k, r in enumerate(rows):
         out[k, : len(r)] = r
-    return np.array(ids, dtype=np.int64), out
+    return out
+
+
+def _indexer(scale: int, most: int):
+    """Vectors to rows (rows, width, bits, ids, slices), one for each block."""
+
+    def block(ids: list[int], rows: list[np.ndarray]) -> pa.RecordBatch:
+        values = _table(rows)
+        index = BitSliced.of(values)
+        cells = [len(ids), index.width, index.bits, np.array(ids, dtype="<i8").tobytes(), index.slices.tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, [pa.int64()] * 3 + [pa.binary()] * 2, strict=True)], [c.split()[0] for c in INDEX.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Blocks of narrow rows, and of wide ones, whose many slices would else be paid for every row.
+        held = {False: ([], [], [0]), True: ([], [], [0])}
+        for batch in batches:
+            for i, v in zip(*quantised(batch, scale), strict=True):
+                ids, rows, size = held[v.dtype == object]
+                bits = max((int(c).bit_length() for c in v), default=0) + 1 if v.dtype == object else WIDE_BITS
+                ids.append(i)
+                rows.append(v)
+                size[0] += len(v) * bits // 8 + 8
+                if len(ids) >= most or size[0] >= BLOCK_BYTES:
+                    yield block(ids, rows)
+                    held[v.dtype == object] = ([], [], [0])
+        for ids, rows, _ in held.values():
+            if ids:
+                yield block(ids, rows)
+
+    return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], scale: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    held, n = [], 0
+INDEX = "n long, width long, bits long, ids binary, slices binary"
 
-    def block():
-        width = max(v.shape[1] for _, v in held)
-        wide = [np.pad(v, ((0, 0), (0, width - v.shape[1]))) for _, v in held]
-        return np.concatenate([i for i, _ in held]), np.concatenate(wide)
 
-    for batch in batches:
-        for start in range(0, batch.num_rows, most):
-            ids, values = quantised(batch.slice(start, most), scale)
-            if len(ids):
-                held.append((ids, values))
-                n += len(ids)
-            if n >= most:
-                yield block()
-                held, n = [], 0
-    if held:
-        yield block()
+def index_of(vectors: DataFrame, scale: int = SCALE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The bit-sliced index of (vec_id, embedding): a row for each block."""
+    prepare(vectors.sparkSession)
+    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return slim.mapInArrow(_indexer(scale, block_rows), INDEX)
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, pass_queries: int = PASS_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each query but itself (rows vec_id, embedding)."""
     spark = prepare(candidates.sparkSession)
-    slim = candidates.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = cut(asked.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    # Vectors that take no part ask nothing; of several with one id the smallest that takes part asks.
+    able = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    asked = cut(asked.where(able).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
     passes = max(1, -(-asked.count() // pass_queries))
+    index = index_of(candidates, scale, block_rows)
+    if passes > 1:
+        index = kept(index, "slices")
     found = []
     for turn in range(passes):
         # About pass_queries rows: what the driver holds and sends at a time has this bound.
         part = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(passes)) == turn)
-        table = part.toArrow()
-        q_ids, q_values = zip(*[quantised(b, scale) for b in table.to_batches()], strict=True) if table.num_rows else ((), ())
-        sent = spark.sparkContext.broadcast(list(zip(q_ids, q_values, strict=True)))
+        sent = spark.sparkContext.broadcast([quantised(b, scale) for b in part.toArrow().to_batches()])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for ids, values in _blocks(batches, scale, block_rows):
-                index = BitSliced(values)
-                for q_ids, q_values in sent.value:
-                    out = []
-                    for q, query in zip(q_ids.tolist(), q_values, strict=True):
-                        at, scores = index.top(query[: index.width], k, ids, q)
-                        out.append((np.full(len(at), q), ids[at], scores))
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+            for batch in batches:
+                for n, width, bits, ids, slices in zip(*batch.to_pydict().values(), strict=True):
+                    ids = np.frombuffer(ids, dtype="<i8")
+                    block = BitSliced(n, np.frombuffer(slices, dtype=np.uint64).reshape(width, bits, -(-n // 64)))
+                    for q_ids, q_values in sent.value:
+                        out = []
+                        for q, query in zip(q_ids, q_values, strict=True):
+                            at, scores = block.top(query[:width], k, ids, q)
+                            # A score beyond 64 bits goes on as the nearest that fits, and is refused if it stays among the best.
+                            beyond = np.array([not LEAST <= x <= MOST for x in scores], dtype=bool)
+                            out.append((np.full(len(at), q), ids[at], np.clip(scores, LEAST, MOST).astype(np.int64), beyond))
+                        if out:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score", "beyond"])
 
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-        rows = slim.mapInArrow(run, "query_id long, vec_id long, score long")
-        ranked = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        rows = index.mapInArrow(run, "query_id long, vec_id long, score long, beyond boolean")
+        told = F.when(F.col("beyond"), F.raise_error("an inner product among the best leaves 64 bits")).otherwise(F.col("score"))
+        ranked = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", told.alias("score"))
         found.append(ranked if passes == 1 else cut(ranked))
     out = found[0]
     for more in found[1:]:
@@ -221,11 +275,11 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_OP3 = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::HUGEINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  SELECT a.vec_id AS query_id, b.vec_id, coalesce(list_sum(list_transform(list_zip(a.q, b.q, true), lambda z: z[1] * z[2])), 0)::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10

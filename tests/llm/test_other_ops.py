@@ -1,6 +1,7 @@
 """Chat formatting, bit-sliced search, the queries' SQL and the pipeline."""
 
 import hashlib
+import math
 
 import duckdb
 import numpy as np
@@ -75,7 +76,7 @@ def test_bit_slices_against_products():
     for _ in range(60):
         n, d, high, k = int(draw.integers(1, 200)), int(draw.integers(1, 7)), int(draw.choice([1, 9, 1000, 2**26])), int(draw.integers(1, 12))
         values, ids, query = draw.integers(-high, high + 1, (n, d)), draw.permutation(n), draw.integers(-high, high + 1, d)
-        at, scores = bitsliced.BitSliced(values).top(query, k, ids, int(ids[0]))
+        at, scores = bitsliced.BitSliced.of(values).top(query, k, ids, int(ids[0]))
         full = values @ query
         want = sorted(range(1, n), key=lambda i: (-full[i], ids[i]))[:k]
         assert sorted(at.tolist()) == sorted(want) and (full[at] == scores).all()
@@ -85,19 +86,29 @@ def test_bit_slices_against_products():
 def test_search_odd_vectors(spark, pass_queries):
     draw = np.random.default_rng(4)
     rows = [(k, [float(x) for x in draw.normal(size=5)], 0) for k in range(60)] + [(k, [1.0, 0.0, 0.0, 0.0, 0.0], 1) for k in range(200, 230)]
-    rows += [(300, None, 0), (301, [1.0, None], 0), (302, [float("nan")], 0), (303, [float("inf")], 0), (304, [], 0), (None, [1.0], 0), (305, [1e12], 0), (306, [3.0], 0), (7, rows[7][1], 5)]
+    rows += [(300, None, 0), (301, [1.0, None], 0), (302, [float("nan")], 0), (303, [float("inf")], 0), (304, [], 0), (None, [1.0], 0), (305, [2e5, 3.0], 0), (310, [], 0), (311, [-3e8, 1.0], 0), (306, [3.0], 0), (7, rows[7][1], 5), (315, [3e6, -7e6], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     got = bitsliced.search(table, table.where("vec_id % 5 = 0"), pass_queries=pass_queries, block_rows=16).collect()
-    ok = [(i, np.pad(np.floor(1024 * np.array(v)), (0, 5 - len(v)))) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all() and max(map(abs, v)) < 1e5]
+    ok = [(i, [math.floor(1024 * x) for x in v] + [0] * (5 - len(v))) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     want = []
     for q, x in ok:
         if q % 5 == 0:
-            ranked = sorted((-int(x @ y), i) for i, y in ok if i != q)[:10]
+            ranked = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in ok if i != q)[:10]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(ranked)]
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
     assert bitsliced.search(table.limit(0), table.limit(0)).collect() == []
 
 
+def test_search_beyond_64_bits_fails_loudly(spark):
+    table = spark.createDataFrame([(1, [1e300]), (2, [1e300]), (3, [-1e300])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        bitsliced.search(table, table.where("vec_id = 1")).collect()
+    # Huge vectors that are no query's best do no harm.
+    small = spark.createDataFrame([(1, [1.0]), (3, [-1e300]), *[(k, [float(k)]) for k in range(10, 30)]], "vec_id long, embedding array<double>")
+    got = bitsliced.search(small, small.where("vec_id = 1")).collect()
+    assert sorted(r.vec_id for r in got) == list(range(20, 30)) and max(r.score for r in got) == 29 << 20
+
+
 def test_every_operator_is_registered():
     names = entry.queries()
     assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))

@@ -341,19 +341,52 @@ def test_chunks_resist_shifts():
 # -- GIF
 
 
-@given(st.binary(min_size=1, max_size=700), st.sampled_from([8]))
+def plain_lzw_decode(data, size):
+    """Bit by bit, as the format's description has it."""
+    bits = "".join(f"{b:08b}"[::-1] for b in data)
+    clear, end = 1 << size, (1 << size) + 1
+    table, width, at, out, last = {}, size + 1, 0, [], None
+    while at + width <= len(bits):
+        code = int(bits[at : at + width][::-1], 2)
+        at += width
+        if code == clear:
+            table, width, last = {k: [k] for k in range(clear)} | {clear: [], end: []}, size + 1, None
+        elif code == end:
+            return bytes(out), True
+        else:
+            piece = table[code] if code in table else [*last, last[0]]
+            out += piece
+            if last is not None and len(table) < 4096:
+                table[len(table)] = [*last, piece[0]]
+                width = max(width, min(12, len(table).bit_length()))
+            last = piece
+    return bytes(out), False
+
+
+@given(st.binary(min_size=1, max_size=700) | st.lists(st.sampled_from(b"ab "), min_size=1, max_size=3000).map(bytes))
 @settings(max_examples=60, deadline=None)
-def test_lzw_round_trip(data, size):
-    samples = np.frombuffer(data, dtype=np.uint8)
-    assert gif.lzw_decode(gif.lzw_literal(samples), size, len(data)).tobytes() == data
-    assert gif.lzw_decode(gif.lzw_encode(data, size), size, len(data)).tobytes() == data
+def test_lzw_round_trip(data):
+    stream = gif.lzw_encode(data)
+    assert gif.lzw_decode(stream, 8, len(data)).tobytes() == data
+    assert plain_lzw_decode(stream, 8) == (data, True)
 
 
 def test_lzw_full_table():
     data = np.random.default_rng(1).integers(0, 256, 50_000).astype(np.uint8)
-    assert (gif.lzw_decode(gif.lzw_encode(data.tobytes()), 8, len(data)) == data).all()
     few = (data % 4).astype(np.uint8)
-    assert (gif.lzw_decode(gif.lzw_encode(few.tobytes(), 2), 2, len(few)) == few).all()
+    for samples, size in ((data, 8), (few, 2), (few, 8)):
+        stream = gif.lzw_encode(samples.tobytes(), size)
+        assert (gif.lzw_decode(stream, size, len(samples)) == samples).all()
+        assert plain_lzw_decode(stream, size) == (samples.tobytes(), True)
+
+
+def test_lzw_deferred_clear():
+    """A stream that goes on with a full table instead of clearing it."""
+    data = np.random.default_rng(2).integers(0, 256, 9_000)
+    codes = np.array([256, *data.tolist(), 257])
+    stream = gif._packed_bits(codes, np.concatenate(([9], gif._widths(len(data) + 1, 8, 258))))
+    assert plain_lzw_decode(stream, 8) == (data.astype(np.uint8).tobytes(), True)
+    assert gif.lzw_decode(stream, 8, len(data)).tobytes() == data.astype(np.uint8).tobytes()
 
 
 def test_gif_disposal_transparency_and_interlace():
@@ -377,18 +410,57 @@ def test_gif_disposal_transparency_and_interlace():
             list(gif.decode(broken))
 
 
+def plain_features(text):
+    """Every column of the query, from the text and a plain reading of the stored bytes."""
+    body = (text or "").encode()
+    payload = body + b"\xff" * ((-len(body)) % 576 if body else 576)
+    media = gif.store(payload)
+    at, samples, n = 13 + 768, b"", 0
+    while media[at] != 0x3B:
+        assert media[at : at + 3] == b"\x21\xf9\x04" and media[at + 6] == 255 and media[at + 3] == (1 + n % 3) << 2 | 1
+        w, h = int.from_bytes(media[at + 13 : at + 15], "little"), int.from_bytes(media[at + 15 : at + 17], "little")
+        laced, stream, at = media[at + 17] & 0x40, b"", at + 19
+        while media[at]:
+            stream, at = stream + media[at + 1 : at + 1 + media[at]], at + 1 + media[at]
+        at += 1
+        rows = plain_lzw_decode(stream, 8)[0]
+        if laced:
+            sent, straight = iter(range(h)), [b""] * h
+            for r in [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]:
+                k = next(sent)
+                straight[r] = rows[k * w : (k + 1) * w]
+            rows = b"".join(straight)
+        samples, n = samples + rows, n + 1
+    assert samples == payload
+    return payload, media, n
+
+
 def test_gif_query(make_docs, odd_rows, spark):
-    out = gif.features(gif.stored(make_docs(odd_rows))).collect()
-    assert len(out) == len(odd_rows)
-    for r, (d, t) in zip(sorted(out, key=lambda r: (str(r.doc_id), r.payload_sha256)), sorted(odd_rows, key=lambda x: (str(x[0]), hashlib.sha256(gif.payload_of((x[1] or "").encode())).hexdigest())), strict=True):
-        body = (t or "").encode()
-        payload = body + b"\xff" * ((-len(body)) % 576 if body else 576)
-        assert (r.doc_id, r.n_bytes, r.payload_bytes) == (d, len(body), len(payload))
-        assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+    docs = make_docs([*odd_rows, (8, "a short text")])
+    out = gif.features(gif.stored(docs)).collect()
+    assert len(out) == len(odd_rows) + 1
+    want = {}
+    for d, t in [*odd_rows, (8, "a short text")]:
+        payload, media, n = plain_features(t)
+        want[d, hashlib.sha256(payload).hexdigest()] = (len((t or "").encode()), len(payload), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), n)
+    for r in out:
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32, r.media_bytes, r.media_sha256) == want[r.doc_id, r.payload_sha256][:5]
+        # Two of three frames leave their picture behind, which later ones may cover; one text's single frame shows its bytes.
+        n = want[r.doc_id, r.payload_sha256][5]
+        assert r.feature.startswith(f"frames={n};ms={40 * n};")
+        shown = [sum(map(int, part[2:].split(","))) for part in r.feature.split(";")[2:]]
+        assert len(set(shown)) == 1 and (n > 1 or shown[0] == r.n_bytes)
+    alike = {(r.payload_sha256, r.media_sha256, r.feature) for r in out if r.doc_id in (4, 7, 8)}
+    assert len(alike) == 1
+    long_one = next(r for r in out if r.doc_id == 5)
+    assert long_one.media_bytes < 0.6 * long_one.payload_bytes
     rows = gif.frames(gif.stored(make_docs([(1, "x" * 2000), (2, None)]))).collect()
-    assert {r.doc_id: sum(r.histogram) for r in rows} == {1: 2304, 2: 576} and all(len(r.rgba) == 4 * sum(r.histogram) for r in rows)
+    assert {r.doc_id: sum(r.histogram) for r in rows} == {1: 2000, 2: 0}
     bad = spark.createDataFrame([(1, None), (2, bytearray(b"no gif"))], "doc_id long, media binary")
     assert gif.frames(bad).collect() == []
+    told = {r.doc_id: r for r in gif.features(bad.withColumn("n_bytes", F.lit(5).cast("long"))).collect()}
+    assert told[1].media_bytes is None and told[2].media_bytes == 6 and told[2].payload_sha256 is None
+    assert gif.features(gif.stored(make_docs([]))).collect() == []
 
 
 # -- classifiers
