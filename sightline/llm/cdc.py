@@ -10,8 +10,12 @@ cuts out of the text. A passage may be glued of stretches that different rows
 keep; each of them is named with its keeper.
 
 One document's digests travel as arrays, written once to the shared folder.
-Counting them combines on the map side and joins split hot keys, so a passage
-that a third of all documents share is a row a task, never a group in one task.
+Counting them combines on the map side, so a passage that a third of all documents
+share is a row a task there; it then meets its keeper by a join of fixed-width
+rows, whose large partitions Spark's adaptive plan splits.
+
+``passage_words`` is the least length of a run that is reported (PASSAGE_WORDS);
+0 reports every repeated chunk.
 
 Defined results
   * null or empty text: no chunks, nothing repeats;
@@ -19,7 +23,9 @@ Defined results
   * repeated rows and doc_ids: occurrences of their own, in an order by row
     and place; exact copies repeat from end to end;
   * chunks are whole words; white space between words does not count;
-  * extra columns are passed through; empty table: no rows.
+  * texts of any length: memory follows the longest;
+  * extra columns: passed through by ``without_repeats`` whatever their names,
+    left out by ``repeats``; empty table: no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.session import cut, docs_of, prepare, texts
+from sightline.llm.session import docs_of, kept, packed, prepare, rewritten, texts
 
 #: Words of a chunk at least, and one in so many later word ends closes it.
 LEAST_WORDS = 4
@@ -103,8 +109,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def chunked(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and arrays begin, end, words, d1, d2 with an element for each chunk."""
     prepare(docs.sparkSession)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
-    return slim.mapInArrow(_chunked, "doc_id long, text_hash long, begin array<int>, end array<int>, words array<int>, d1 array<long>, d2 array<long>")
+    return packed(docs).drop("row").mapInArrow(_chunked, "doc_id long, text_hash long, begin array<int>, end array<int>, words array<int>, d1 array<long>, d2 array<long>")
 
 
 def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
@@ -115,14 +120,8 @@ def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     share doc_id and text. ``keepers`` has begin, n_bytes, n_words, first_doc_id
     of each stretch of the passage whose chunks one row keeps, in their order.
     """
-    spark = prepare(docs.sparkSession)
-    root = spark.sparkContext.getCheckpointDir()
-    from uuid import uuid4
-
     # A written table rather than a checkpoint: encoded columns are a fraction of its size.
-    path = f"{root}/chunks-{uuid4().hex}"
-    chunked(docs).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
-    table = spark.read.parquet(path)
+    table = kept(chunked(docs).withColumn("row", F.monotonically_increasing_id()), "chunks")
     # Nothing but keys is dealt by digest: no null doc_id needs a flag, as nulls take the largest number.
     place = F.struct("doc", "row", "at")
     each = table.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "row", F.posexplode(F.arrays_zip("d1", "d2")).alias("at", "d"))
@@ -160,28 +159,25 @@ def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
 def without_repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """The rows and columns of ``docs`` with repeated passages cut out of text (n_chars set anew)."""
     spans = repeats(docs, passage_words)
-    lists = spans.groupBy("doc_id", "text_hash", "row").agg(F.sort_array(F.collect_list(F.struct("begin", "n_bytes"))).alias("_spans"))
-    # Rows that share doc_id and text are told apart by their order.
-    order = Window.partitionBy("_d", "_t").orderBy("row")
-    whole = Window.partitionBy("doc_id", "_t").orderBy(F.lit(0))
-    lists = lists.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "row", "_spans").withColumn("_k", F.row_number().over(order)).drop("row")
+    lists = spans.groupBy("doc_id", "text_hash", "row").agg(F.sort_array(F.collect_list(F.struct("begin", "n_bytes"))).alias("spans"))
+    # Rows that share doc_id and text are told apart by their number; nulls meet by a flag and a zero.
+    named = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "text_hash"]
+    same = ["_id", "_none", "text_hash", "_k"]
     # The first of equal rows may keep its text: it is then the one beyond the lists' number.
-    met = docs.withColumn("_t", F.xxhash64("text")).withColumn("_k", F.row_number().over(whole)).alias("x").join(lists.alias("y"), F.col("x.doc_id").eqNullSafe(F.col("y._d")) & (F.col("x._t") == F.col("y._t")) & (F.col("x._k") == F.col("y._k")), "left")
-    met = met.select(*[F.col(f"x.{c}").alias(c) for c in docs.columns], F.col("y._spans").alias("_spans"))
+    lists = lists.select(*named, "spans", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("row")).alias("_k"))
+    rows = packed(docs).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0))))
+    met = rows.select("text", "row", *named, "_k").join(lists, same, "left").select("text", "row", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            given = batch.column(names.index("text")).to_pylist()
-            kept = []
-            for old, body, spans in zip(given, texts(batch), batch.column(len(names) - 1).to_pylist(), strict=True):
+            kept_texts = []
+            for old, body, spans in zip(batch.column(0).to_pylist(), texts(batch), batch.column(2).to_pylist(), strict=True):
                 parts, at = [], 0
                 for s in spans or ():
                     parts.append(body[at : s["begin"]])
                     at = s["begin"] + s["n_bytes"]
-                kept.append((b"".join(parts) + body[at:]).decode() if spans else old)
-            made = {"text": kept, "n_chars": [None if x is None else len(x) for x in kept]}
-            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else batch.column(i) for i, f in enumerate(list(batch.schema)[:-1])], schema=pa.schema(list(batch.schema)[:-1]))
+                kept_texts.append((b"".join(parts) + body[at:]).decode() if spans else old)
+            yield rewritten(batch, kept_texts)
 
     return met.mapInArrow(run, docs.schema)
 

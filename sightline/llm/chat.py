@@ -20,7 +20,9 @@ Defined results
   * equal scores: the path with the smaller leaf node first;
   * messages that share a tree and node: one of them (least role, text) counts;
     ``linear`` numbers repeated turns, so none is lost there;
-  * null conv_id: a conversation of its own; empty table: no rows.
+  * null conv_id: a conversation of its own; empty table: no rows;
+  * texts of any length: a path is one string, bound to Spark's 2 GB;
+  * extra columns: left out.
 """
 
 from __future__ import annotations

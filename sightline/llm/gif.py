@@ -89,29 +89,27 @@ def _packed_bits(codes: np.ndarray, widths: np.ndarray) -> bytes:
 def lzw_encode(samples: bytes, size: int = 8) -> bytes:
     """The usual greedy encoder: the longest known string each time, a clear code when the table is full."""
     clear, end = 1 << size, (1 << size) + 1
-    # A node of the string tree maps samples to nodes and, under -1, holds its code.
-    groups, codes, following = [], [], end + 1
-    root = {s: {-1: s} for s in set(samples)}
-    add = codes.append
-    node = root[samples[0]] if samples else None
+    # A known string is its prefix's code and its last sample in one number.
+    groups, codes, table, following = [], [], {}, end + 1
+    add, known, prefix = codes.append, table.get, samples[0] if samples else None
     for s in samples[1:]:
-        longer = node.get(s)
-        if longer is not None:
-            node = longer
+        string = prefix << 8 | s
+        code = known(string)
+        if code is not None:
+            prefix = code
             continue
-        add(node[-1])
+        add(prefix)
+        prefix = s
         if following < MOST_CODES:
-            node[s] = {-1: following}
+            table[string] = following
             following += 1
-            node = root[s]
         else:
             groups.append(codes)
             codes, following = [], end + 1
             add = codes.append
-            root = {s: {-1: s} for s in root}
-            node = root[s]
+            table.clear()
     if samples:
-        add(node[-1])
+        add(prefix)
     groups.append(codes)
     # A clear code opens the stream and follows each full group at that group's own width.
     parts, widths = [np.array([clear])], [np.array([size + 1])]

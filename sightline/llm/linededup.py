@@ -1,22 +1,24 @@
 """Line dedup by a sharded minimal perfect hash.
 
-Keys of lines (two 64-bit hashes) that enough documents hold are dealt into
-shards; each shard is a minimal perfect hash whose slots index three compact
-arrays: a 64-bit fingerprint, the number of documents and the document that
-keeps the line. Documents probe those arrays while they stream by, so no text
-and no line is shuffled to be looked up. Only counting the keys shuffles, 16
-bytes of hash and the doc_id for each distinct line of a document.
-
-The arrays are sent to the executors in parts of bounded size while their whole
-size is under ``MOST_BYTES``, which is checked first; beyond it the hashed lines
-meet the same shards by a join of fixed-width rows.
+The keys of all lines (two 64-bit hashes of each) are dealt into shards; each shard
+is a minimal perfect hash over its distinct keys whose slots index compact arrays:
+a 64-bit fingerprint, the number of documents (one byte, which stops at 255) and,
+for the keys that reach ``min_docs``, the document that keeps the line. Documents
+probe the arrays instead of joining lines: fixed-width rows (row, hash) are routed
+to the shards' tasks, a shard's arrays coming first and its probes streaming past
+them, one shard in memory at a time; what is found goes back to the row as a list
+of the keys that go. A shard that many rows probe, as that of a line which a third
+of all documents share, is sent to several tasks, each with a part of its probes.
+
+Only hashes travel by key. Texts are read twice, and meet their lists by row.
 
 Defined results
   * null or empty text: one empty line, which stays;
   * null doc_id: is not counted as a document and keeps no line;
   * repeated doc_ids: one document when counted; each row is rewritten;
-  * extra columns: passed through by ``without_shared_lines``; ``shared_lines``
-    returns its own columns only;
+  * texts of any length: a text's lines are hashed one by one;
+  * extra columns: passed through by ``without_shared_lines`` whatever their
+    names; ``shared_lines`` returns its own columns only;
   * empty table: no rows.
 """
 
@@ -27,24 +29,23 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.session import cut, docs_of, prepare, texts
+from sightline.llm.session import docs_of, kept, packed, prepare, rewritten, texts
 
 MIN_CODE_POINTS = 20
 MIN_DOCS = 3
 BLANK = b"\t\n\x0b\x0c\r "
-#: Keys of one shard, about; a shard's arrays take some 25 bytes a key.
-SHARD_KEYS = 50_000
-#: All shards together are sent to the executors only up to this size.
-MOST_BYTES = 96 << 20
-#: Bytes of shards in one broadcast.
-PART_BYTES = 16 << 20
-
+#: Keys of one shard, about; its arrays take some 10 bytes a key.
+SHARD_KEYS = 8_192
+#: Probes of a shard that one task takes, or one in MOST_SPLIT of all, if that is more.
+PROBES = 16_384
+MOST_SPLIT = 100_000
+#: Counts are bytes that stop here.
+MOST_COUNT = 255
 
 def _long_enough(key: bytes) -> bool:
     n = MIN_CODE_POINTS
@@ -107,35 +108,42 @@ class PerfectHash:
 
 
 class Shard:
-    """Minimal perfect hash and the arrays it indexes."""
+    """Minimal perfect hash of a shard's distinct keys and the arrays it indexes."""
 
-    def __init__(self, h1: np.ndarray, h2: np.ndarray, docs: np.ndarray, keeper: np.ndarray) -> None:
+    def __init__(self, h1: np.ndarray, h2: np.ndarray, docs: np.ndarray, keeper: np.ndarray, min_docs: int = MIN_DOCS) -> None:
         # Two keys may share h1; the first of them is hashed by it, the others are listed.
         order = np.lexsort((h2, h1))
         h1, h2, docs, keeper = h1[order], h2[order], docs[order], keeper[order]
         first = np.concatenate(([True], h1[1:] != h1[:-1])) if len(h1) else np.zeros(0, bool)
-        self.more = {(int(a), int(b)): int(k) for a, b, k in zip(h1[~first], h2[~first], keeper[~first], strict=True)}
+        self.more = {(int(a), int(b)): (int(n), int(k)) for a, b, n, k in zip(h1[~first], h2[~first], docs[~first], keeper[~first], strict=True)}
         h1, h2, docs, keeper = h1[first], h2[first], docs[first], keeper[first]
-        self.hash = PerfectHash(h1.astype(np.uint64))
+        self.min_docs, self.hash = min_docs, PerfectHash(h1.astype(np.uint64))
         at = self.hash(h1.astype(np.uint64))
-        self.prints, self.docs, self.keeper = (np.zeros(len(h1), np.int64) for _ in range(3))
+        self.prints, self.counts = np.zeros(len(h1), np.int64), np.zeros(len(h1), np.uint8 if min_docs <= MOST_COUNT else np.int64)
         # h1 is fixed by h2 and the rotated mix, so a print that agrees is the key but for a chance of 2**-64.
-        self.prints[at], self.docs[at], self.keeper[at] = h2 ^ (h1 << 1), docs, keeper
+        self.prints[at] = h2 ^ (h1 << 1)
+        self.counts[at] = np.minimum(docs, MOST_COUNT) if min_docs <= MOST_COUNT else docs
+        # Keepers only of the slots whose count reaches min_docs, in slot order.
+        shared = docs >= min_docs
+        slots = np.argsort(at[shared])
+        self.shared, self.keeper = at[shared][slots], keeper[shared][slots]
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key is in the shard, and the document that keeps it."""
+        """Whether min_docs documents hold each key, by the count array, and the document that keeps it."""
         at = self.hash(h1.astype(np.uint64))
+        keeper = np.zeros(len(h1), np.int64)
         ok = at >= 0
         if self.hash.n:
-            ok &= self.prints[np.maximum(at, 0)] == h2 ^ (h1 << 1)
-            keeper = self.keeper[np.maximum(at, 0)]
+            slot = np.maximum(at, 0)
+            known = ok & (self.prints[slot] == h2 ^ (h1 << 1))
+            ok = known & (self.counts[slot] >= self.min_docs)
+            keeper[ok] = self.keeper[np.searchsorted(self.shared, slot[ok])]
         else:
-            keeper = np.zeros(len(h1), np.int64)
+            known = ok
         if self.more:
-            for i in np.flatnonzero(~ok):
-                k = self.more.get((int(h1[i]), int(h2[i])))
-                if k is not None:
-                    ok[i], keeper[i] = True, k
+            for i in np.flatnonzero(~known):
+                n, k = self.more.get((int(h1[i]), int(h2[i])), (0, 0))
+                ok[i], keeper[i] = n >= self.min_docs, k
         return ok, keeper
 
     def pack(self) -> bytes:
@@ -146,176 +154,134 @@ class Shard:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_hash) rows to a row for each distinct key of a text."""
     for batch in batches:
-        ids, found, owners = batch.column(0).to_pylist(), [], []
-        for doc_id, text in zip(ids, texts(batch), strict=True):
+        found = [np.zeros((0, 2), np.int64)]
+        for text in texts(batch):
             _, _, h = line_hashes(text)
-            if doc_id is not None and len(h):
-                h = np.unique(h, axis=0) if len(h) > 1 else h
-                found.append(h)
-                owners.append(np.full(len(h), doc_id, dtype=np.int64))
-        h = np.concatenate([np.zeros((0, 2), np.int64), *found])
-        owner = np.concatenate([np.zeros(0, np.int64), *owners])
-        yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(owner)], ["h1", "h2", "doc_id"])
+            found.append(np.unique(h, axis=0) if len(h) > 1 else h)
+        of = pa.array(np.repeat(np.arange(batch.num_rows), [len(h) for h in found[1:]]))
+        h = np.concatenate(found)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["doc_id", "text_hash", "h1", "h2"])
 
 
-def counted_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """h1, h2, docs, keeper of every line key that ``min_docs`` documents hold."""
-    prepare(docs.sparkSession)
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_keys, "h1 long, h2 long, doc_id long")
-    return (
-        keys.groupBy("h1", "h2")
-        .agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("keeper"))
-        .where(F.col("docs") >= min_docs)
-    )
+def line_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, h1, h2: a row for each distinct line key of each row."""
+    return packed(docs).drop("row").mapInArrow(_keys, "doc_id long, text_hash long, h1 long, h2 long")
 
 
-def _shards(pdf: pd.DataFrame) -> pd.DataFrame:
-    shard = Shard(*(pdf[c].to_numpy(np.int64) for c in ("h1", "h2", "docs", "keeper")))
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "blob": [shard.pack()]})
+def counted_lines(keys: DataFrame) -> DataFrame:
+    """h1, h2, docs, keeper, probes of every line key: its documents, the largest of them, and rows that hold it."""
+    each = keys.groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("h1", "h2").agg(F.count("doc_id").alias("docs"), F.max("doc_id").alias("keeper"), F.sum("n").alias("probes"))
 
 
-def shard_index(counted: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
-    """One row for each shard with its packed arrays, and the number of shards."""
+def shard_index(counted: DataFrame, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
+    """shard, probes and blob (its packed arrays) of each shard, and the number of shards."""
     n = max(1, -(-counted.count() // shard_keys))
-    dealt = counted.withColumn("shard", F.pmod(F.col("h1"), F.lit(n)).cast("long"))
-    return cut(dealt.groupBy("shard").applyInPandas(_shards, "shard long, blob binary")), n
-
-
-def _broadcast(spark: SparkSession, index: DataFrame, part_bytes: int) -> list:
-    """The shards in broadcasts of about ``part_bytes``; the driver holds one at a time."""
-    held, size, parts = [], 0, []
-    for row in index.toLocalIterator():
-        held.append((row["shard"], bytes(row["blob"])))
-        size += len(held[-1][1])
-        if size >= part_bytes:
-            parts.append(spark.sparkContext.broadcast(held))
-            held, size = [], 0
-    if held:
-        parts.append(spark.sparkContext.broadcast(held))
-    return parts
-
-
-def _dropper(parts: list, n_shards: int):
-    """A function from (doc_ids, texts) to each document's lines and the mask of those that go."""
-    opened: list[tuple[int, Shard]] = []  # unpacked once for each task
-
-    def run(ids: list, bodies: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-        split = [line_hashes(b) for b in bodies]
-        h = np.concatenate([np.zeros((0, 2), np.int64), *[x[2] for x in split]])
-        none = np.iinfo(np.int64).min
-        owner = np.repeat(np.array([none if i is None else i for i in ids], dtype=np.int64), [len(x[1]) for x in split])
-        nobody = np.repeat(np.array([i is None for i in ids], dtype=bool), [len(x[1]) for x in split])
-        gone = np.zeros(len(h), dtype=bool)
-        home = h[:, 0] % n_shards
-        if not opened:
-            opened.extend((k, pickle.loads(blob)) for part in parts for k, blob in part.value)
-        for k, shard in opened:
-            at = np.flatnonzero(home == k)
-            if len(at):
-                ok, keeper = shard.probe(h[at, 0], h[at, 1])
-                gone[at] = ok & ((keeper != owner[at]) | nobody[at])
-        done = 0
-        for lines, at, _ in split:
-            mask = np.zeros(len(lines), dtype=bool)
-            mask[at] = gone[done : done + len(at)]
-            done += len(at)
-            yield lines, mask
-
-    return run
-
-
-def _kept(lines: list[bytes], gone: np.ndarray) -> bytes:
-    return b"\n".join(line for line, g in zip(lines, gone, strict=True) if not g) if gone.any() else b"\n".join(lines)
-
 
-def _rows(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of a bounded number of text bytes (one row at least)."""
-    sizes = np.array([len(x) for x in texts(batch)], dtype=np.int64)
-    start = 0
-    ends = np.cumsum(sizes)
-    while start < batch.num_rows:
-        upto = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right"))
-        upto = max(start + 1, upto)
-        yield batch.slice(start, upto - start)
-        start = upto
+    def shards(table: pa.Table) -> pa.Table:
+        h1, h2, docs, keeper, probes = (table.column(c).fill_null(0).to_numpy() for c in ("h1", "h2", "docs", "keeper", "probes"))
+        return pa.table([pa.array([table.column("shard")[0].as_py()]), pa.array([int(probes.sum())]), pa.array([Shard(h1, h2, docs, keeper, min_docs).pack()], pa.binary())], ["shard", "probes", "blob"])
 
+    dealt = counted.withColumn("shard", F.pmod(F.col("h1"), F.lit(n)).cast("long"))
+    return kept(dealt.groupBy("shard").applyInArrow(shards, "shard long, probes long, blob binary"), "shards"), n
 
-def shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 for each row of ``docs``."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def report(run, batch):
-        ids = batch.column(0).to_pylist()
-        out = [(len(g), int(g.sum()), hashlib.sha256(_kept(lines, g)).hexdigest()) for lines, g in run(ids, texts(batch))]
-        n, d, s = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return _with_masks(slim, report, "doc_id long, n_lines long, n_dropped long, kept_sha256 string", min_docs, most_bytes)
+def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, part, blob, doc_id, text_hash, h1, h2), a part's blob before its probes, to the keys that go."""
+    here, shard = None, None
+    for batch in batches:
+        where = batch.column(0).to_numpy() * (1 << 20) + batch.column(1).to_numpy()
+        has = np.array(batch.column(2).is_valid())
+        cuts = np.unique(np.concatenate(([0, batch.num_rows], np.flatnonzero(where[1:] != where[:-1]) + 1)))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            while a < b and has[a]:
+                here, shard = where[a], pickle.loads(batch.column(2)[int(a)].as_py())
+                a += 1
+            if a == b:
+                continue
+            if where[a] != here:
+                raise ValueError("probes without their shard")
+            part = batch.slice(int(a), int(b - a))
+            h1, h2 = part.column(5).to_numpy(), part.column(6).to_numpy()
+            ok, keeper = shard.probe(h1, h2)
+            nobody = np.array(part.column(3).is_null())
+            gone = ok & (nobody | (part.column(3).fill_null(0).to_numpy() != keeper))
+            at = pa.array(np.flatnonzero(gone))
+            yield pa.RecordBatch.from_arrays([part.column(c).take(at) for c in (3, 4, 5, 6)], ["doc_id", "text_hash", "h1", "h2"])
+
+
+def shared_keys(docs: DataFrame, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, probes: int = PROBES) -> DataFrame:
+    """doc_id, text_hash and gone (pairs of hashes): the keys whose lines leave the rows with that doc_id and text."""
+    keys = kept(line_keys(docs), "lines")
+    index, n = shard_index(counted_lines(keys), min_docs, shard_keys)
+    total = index.agg(F.sum("probes")).first()[0] or 0
+    # At most MOST_SPLIT shards have more probes than this: a bound on what is sent.
+    most = max(probes, total // MOST_SPLIT)
+    parts = F.ceil(F.col("probes") / most).cast("int")
+    split = index.where(F.col("probes") > most).select("shard", parts.alias("parts"))
+    routed = keys.withColumn("shard", F.pmod(F.col("h1"), F.lit(n)).cast("long")).join(F.broadcast(split), "shard", "left")
+    part = F.pmod(F.xxhash64("doc_id", "text_hash"), F.coalesce("parts", F.lit(1))).cast("int")
+    routed = routed.select("shard", part.alias("part"), F.lit(None).cast("binary").alias("blob"), "doc_id", "text_hash", "h1", "h2")
+    none = [F.lit(None).cast("long").alias(c) for c in ("doc_id", "text_hash", "h1", "h2")]
+    arrays = index.select("shard", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)).alias("part"), "blob", *none)
+    dealt = arrays.unionByName(routed).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("blob").isNull())
+    found = dealt.mapInArrow(_probed, "doc_id long, text_hash long, h1 long, h2 long")
+    # A row's list is as long as its text has lines.
+    return found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+
+
+def _masks(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Each text's lines and which of them go."""
+    for text, gone in zip(texts(batch), batch.column(batch.schema.get_field_index("gone")).to_pylist(), strict=True):
+        if not gone:
+            lines = text.split(b"\n")
+            yield lines, np.zeros(len(lines), dtype=bool)
+            continue
+        lines, at, h = line_hashes(text)
+        listed = {(g["h1"], g["h2"]) for g in gone}
+        mask = np.zeros(len(lines), dtype=bool)
+        mask[at] = [(a, b) in listed for a, b in h.tolist()]
+        yield lines, mask
 
 
-def without_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """The rows and columns of ``docs`` with shared lines gone from text (and n_chars set anew)."""
+def _kept_text(lines: list[bytes], gone: np.ndarray) -> bytes:
+    return b"\n".join(line for line, g in zip(lines, gone, strict=True) if not g) if gone.any() else b"\n".join(lines)
 
-    def rewrite(run, batch):
-        ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-        kept = [None if x is None and not g.any() else _kept(lines, g).decode() for x, (lines, g) in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), run(ids, texts(batch)), strict=True)]
-        made = {"text": kept}
-        if "n_chars" in batch.schema.names:
-            made["n_chars"] = [None if x is None else len(x) for x in kept]
-        return pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else batch.column(i) for i, f in enumerate(batch.schema)], schema=batch.schema)
 
-    return _with_masks(docs, rewrite, docs.schema, min_docs, most_bytes)
+def _with_lists(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` (packed) with the list of keys that go, null where none does."""
+    # Many rows may share doc_id and text; lists are one a pair. Nulls meet by a flag and a number.
+    flag = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "text_hash"]
+    return rows.select("*", *flag[:2]).join(gone.select(*flag, "gone"), ["_id", "_none", "text_hash"], "left")
 
 
-def _with_masks(docs: DataFrame, make, schema, min_docs: int, most_bytes: int) -> DataFrame:
-    spark = prepare(docs.sparkSession)
-    counted = cut(counted_lines(docs, min_docs))
-    index, n_shards = shard_index(counted)
-    size = index.agg(F.sum(F.length("blob"))).first()[0] or 0
-    if size <= most_bytes:
-        run = _dropper(_broadcast(spark, index, PART_BYTES), n_shards)
-    else:
-        docs, run = _listed(docs, counted), None
+def shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, probes: int = PROBES) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 for each row of ``docs``."""
+    prepare(docs.sparkSession)
 
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in _rows(batch):
-                if run:
-                    yield make(run, rows)
-                else:
-                    gone, last = rows.column(rows.num_columns - 1).to_pylist(), rows.num_columns - 1
-                    yield make(lambda ids, bodies, gone=gone: _given(bodies, gone), pa.RecordBatch.from_arrays(rows.columns[:last], schema=pa.schema(list(rows.schema)[:last])))
+            out = [(len(g), int(g.sum()), hashlib.sha256(_kept_text(lines, g)).hexdigest()) for lines, g in _masks(batch)]
+            n, d, s = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return docs.mapInArrow(mapped, schema)
+    met = _with_lists(packed(docs).drop("row"), shared_keys(docs, min_docs, shard_keys, probes))
+    return met.select("doc_id", "text", "gone").mapInArrow(report, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def _given(bodies: list[bytes], gone: list) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    for body, at in zip(bodies, gone, strict=True):
-        lines = body.split(b"\n")
-        mask = np.zeros(len(lines), dtype=bool)
-        mask[at or []] = True
-        yield lines, mask
+def without_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, probes: int = PROBES) -> DataFrame:
+    """The rows and columns of ``docs`` with shared lines gone from text (and n_chars set anew)."""
+    prepare(docs.sparkSession)
 
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.column(0).to_pylist()
+            yield rewritten(batch, [old if not gone.any() else _kept_text(lines, gone).decode() for old, (lines, gone) in zip(given, _masks(batch), strict=True)])
 
-def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        split = [line_hashes(b) for b in texts(batch)]
-        n = [len(x[1]) for x in split]
-        h = np.concatenate([np.zeros((0, 2), np.int64), *[x[2] for x in split]])
-        at = np.concatenate([np.zeros(0, np.int64), *[x[1] for x in split]])
-        of = pa.array(np.repeat(np.arange(batch.num_rows), n))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), pa.array(at), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["d", "t", "i", "h1", "h2"])
-
-
-def _listed(docs: DataFrame, counted: DataFrame) -> DataFrame:
-    """``docs`` with a last column of the line numbers that go, found by joins of fixed-width rows."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("t"))
-    probes = slim.mapInArrow(_probes, "d long, t long, i long, h1 long, h2 long")
-    lost = probes.join(counted, ["h1", "h2"]).where(F.col("d").isNull() | (F.col("d") != F.col("keeper")))
-    lists = lost.groupBy("d", "t").agg(F.collect_set("i").alias("_gone"))
-    met = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")), "left")
-    return met.select(*[docs[c] for c in docs.columns], "_gone")
+    met = _with_lists(packed(docs), shared_keys(docs, min_docs, shard_keys, probes))
+    return met.select("text", "row", "gone").mapInArrow(rewrite, docs.schema)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,12 @@ Defined results
   * null source: a source of its own, ordered last;
   * repeated rows and repeated doc_ids: each row is a document of its own;
   * a source whose words are all zero: target 0;
-  * empty table: no rows.
+  * texts of any length: a text is cut at blocks and may be taken in part;
+  * extra columns: left out by ``mix``, passed through by ``mixed_texts``, the
+    pipeline's stage, whatever their names; empty table: no rows.
+
+Windows over all sources, and over a source's shards, run in one task: it orders
+a row of numbers for each source, and MOST_SHARDS shards at most.
 """
 
 from __future__ import annotations
@@ -19,13 +24,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.session import cut, docs_of, prepare
+from sightline.llm.session import cut, docs_of, packed, prepare
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 32
-#: About so many words of a source make a shard, so no shard's stream grows with the data.
+#: About so many words of a source make a shard.
 SHARD_WORDS = 250_000
+#: Shards at most, about: beyond it each takes more words. A shard's stream is a row of numbers for each document,
+#: so at 100 TB one task orders some million of them, and one task ranks the shards of a source.
+MOST_SHARDS = 65_536
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
@@ -128,10 +136,13 @@ def mix(
     Returns doc_id, size, source_size, target, taken, passes (whole copies) and
     ranges: the word ranges [from, to) taken once more.
     """
-    spark = prepare(docs.sparkSession)
-    sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_text")))
+    prepare(docs.sparkSession)
+    text = F.col("text").cast("string")
+    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("_text")))
     targets = cut(source_targets(sizes, share, most, weights))
-    known = targets.count(), (targets.agg(F.sum("source_size")).first()[0] or 0) // shard_words
+    words = targets.agg(F.sum("source_size")).first()[0] or 0
+    shard_words = max(shard_words, words // MOST_SHARDS)
+    known = targets.count(), words // shard_words
     # Rows of fixed width for sources and shards: broadcast only while they are few.
     held = lambda x: F.broadcast(x) if sum(known) <= FEW else x
     drawn = F.xxhash64("doc_id", "source", "_text", F.lit(seed))
@@ -212,22 +223,23 @@ def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
     A document taken more than once holds its text once for each whole pass and
     then its chosen ranges, joined by newlines; one of which nothing is taken goes.
     """
-    key = ["doc_id", "source", "_text"]
-    copies = Window.partitionBy(*key).orderBy(F.lit(0))
     plan = mix(docs, **settings).where("taken > 0")
-    plan = plan.select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_t"), F.col("passes").alias("_passes"), F.col("ranges").alias("_ranges"),
-        F.row_number().over(Window.partitionBy("doc_id", "source", "text_hash").orderBy("passes", "ranges")).alias("_c"),
-    )
-    rows = docs.withColumn("_text", F.xxhash64("text")).withColumn("_copy", F.row_number().over(copies))
-    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip([*key, "_copy"], ["_d", "_s", "_t", "_c"], strict=True)]
+    # Rows that share doc_id, source and text are told apart by their number; nulls meet by flags.
+    own = [F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_nd"), F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_ns"), F.col("text_hash").alias("_t")]
+    key = ["_d", "_nd", "_s", "_ns", "_t"]
+    plan = plan.select(*own, "passes", "ranges").withColumn("_copy", F.row_number().over(Window.partitionBy(*key).orderBy("passes", "ranges")))
+    rows = packed(docs).withColumn("source", F.col("row.source").cast("string")).select(*own, "text", "row")
+    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
     words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), 1)
     piece = lambda r: F.rtrim(F.array_join(F.slice("_words", (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")), ""))
-    passes = F.array_repeat(F.col("text"), F.col("_passes").cast("int"))
-    met = rows.join(plan, same).withColumn("_words", F.when(F.size("_ranges") > 0, words))
-    text = F.array_join(F.concat(passes, F.when(F.size("_ranges") > 0, F.transform("_ranges", piece)).otherwise(F.array().cast("array<string>"))), "\n")
-    made = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return met.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+    met = rows.join(plan, [*key, "_copy"]).withColumn("_words", F.when(F.size("ranges") > 0, words))
+    copies = F.array_repeat(F.col("text"), F.col("passes").cast("int"))
+    text = F.array_join(F.concat(copies, F.when(F.size("ranges") > 0, F.transform("ranges", piece)).otherwise(F.array().cast("array<string>"))), "\n")
+    met = met.select("row", text.alias("text"))
+    made = {"text": F.col("text").cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return met.select(*[made[c].alias(c) if c in made else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

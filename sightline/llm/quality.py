@@ -2,44 +2,49 @@
 
 Indicators of n-grams are scaled by the log-count ratio of the two classes and a
 linear hinge-loss model is fitted to them by dual coordinate descent. The n-grams
-are words, and single and paired word shapes (case, digits and punctuation, runs
-collapsed) by the share of the text they make up, so that they tell a text that
-is shouted, garbled or repeated throughout from one that merely contains a line
-of it. Margins become scores by a logistic curve fitted to margins of rows that
-the fold's model has not seen.
+are words and pairs of words, and single and paired word shapes (case, digits and
+punctuation, runs collapsed) by the share of the text they make up, so that they
+tell a text that is shouted, garbled or repeated throughout from one that merely
+contains a line of it. Margins become scores by a logistic curve fitted to margins
+of rows that the fold's model has not seen.
 
 The model is fitted on at most ``TRAIN_ROWS`` labelled rows, those of smallest
-seeded hash; every row is scored on its whole text.
+seeded hash, and on all their n-grams that LEAST_DOCS of them hold; every row is
+scored on its whole text.
 
 Defined results
-  * null or empty text: scored by the model like a text without n-grams;
+  * null or empty text: scored by the model like a text whose one n-gram is its
+    being empty; texts of any length: memory follows the longest;
   * null doc_id: never a training row, held_out false;
+  * documents that repeat a doc_id: the one of smallest text hash is trained on;
   * labels that repeat a doc_id: its smallest label; null labels: not used;
   * no labels, or one class only: that class's share is every row's score;
-  * repeated rows: each is scored; empty table: no rows.
+  * repeated rows: each is scored; empty table: no rows;
+  * extra columns: left out by ``scored``, passed through by ``accepted``, the
+    pipeline's stage, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.session import docs_of, prepare, texts
+from sightline.llm.session import docs_of, packed, prepare, texts
 
 TRAIN_ROWS = 6_000
 THRESHOLD = 0.7
 #: The pipeline rejects what scores below this.
 REJECT_BELOW = 0.5
-VOCABULARY = 20_000
-LEAST_DOCS = 5
+#: Documents of the sample that hold an n-gram at least: one that a single document holds says nothing of a class.
+LEAST_DOCS = 2
 SHARES = (0.0, 0.01, 0.03, 0.1, 0.3, 0.6, 0.9)
 COST = 0.1
 EPOCHS = 30
@@ -57,31 +62,43 @@ _shape_of: dict[bytes, bytes] = {}
 def _shape(word: bytes) -> bytes:
     found = _shape_of.get(word)
     if found is None:
-        if len(_shape_of) > 100_000:
-            _shape_of.clear()
-        found = _shape_of[word] = _RUNS.sub(rb"\1\1", word)[:12]
+        found = _RUNS.sub(rb"\1\1", word)
+        if len(word) <= 64:  # what is remembered stays small
+            if len(_shape_of) > 100_000:
+                _shape_of.clear()
+            _shape_of[word] = found
     return found
 
 
-def grams(text: bytes, vocabulary: frozenset | None = None) -> set[bytes]:
-    """The n-grams that a text's indicators are about; of words, those of the vocabulary if one is given."""
-    parts = text.split()
-    n = len(parts)
+EMPTY = (b"", b"")
+
+
+def grams(text: bytes, vocabulary: frozenset | None = None) -> set:
+    """The n-grams that a text's indicators are about: words (bytes) and pairs of words, those of the vocabulary if one is given, and (shape, level).
+
+    A shape is a word's or a pair's; its level is how many of SHARES its share of the text's words exceeds.
+    """
+    words = text.lower().split()
+    n = len(words)
     if not n:
-        return {b"#0"}
+        return {EMPTY}
+    found = set(words)
+    found.update(zip(words, words[1:]))  # noqa: B905
+    if vocabulary is not None:
+        found &= vocabulary
     shapes = [_shape(w) for w in text.translate(_CLASSES).split()]
-    distinct = set(text.lower().split())
-    counts = [*Counter(shapes).items(), *((b" ".join(ab), c) for ab, c in Counter(zip(shapes, shapes[1:])).items())]  # noqa: B905
-    counts += [(b"#again", sum(map(eq, parts, parts[1:]))), (b"#lines", text.count(b"\n")), (b"#new", len(distinct))]
-    out = {b"#n%d" % int(math.log2(n))}
-    for gram, c in counts:
+    for gram, c in [*Counter(shapes).items(), *Counter(zip(shapes, shapes[1:])).items()]:  # noqa: B905
         share = c / n
         for k, s in enumerate(SHARES):
             if share <= s:
                 break
-            out.add(b"%s %d" % (gram, k))
-    out.update(b"=" + w for w in (distinct if vocabulary is None else distinct & vocabulary))
-    return out
+            found.add((gram, k))
+    return found
+
+
+def _order(gram: object) -> str:
+    """A total order of n-grams, so that sums do not depend on a set's order."""
+    return repr(gram)
 
 
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, width: int, smooth: float = 1.0) -> np.ndarray:
@@ -129,7 +146,7 @@ def logistic_fit(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-3), float(b)
 
 
-def fit(documents: list[tuple[set[bytes], int]]) -> dict:
+def fit(documents: list[tuple[set, int]]) -> dict:
     """A model, as plain values, from (grams, label) rows."""
     y = np.array([1 if label else -1 for _, label in documents])
     if len(set(y.tolist())) < 2:
@@ -138,8 +155,7 @@ def fit(documents: list[tuple[set[bytes], int]]) -> dict:
     df: Counter = Counter()
     for found, _ in documents:
         df.update(found)
-    least = min(LEAST_DOCS, max(2, len(y) // 50))
-    known = {g: k for k, (g, c) in enumerate(sorted(df.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if c >= least}
+    known = {g: k for k, g in enumerate(sorted((g for g, c in df.items() if c >= LEAST_DOCS), key=_order))}
     rows = [np.array(sorted(known[g] for g in found if g in known), dtype=np.int64) for found, _ in documents]
     cost = np.where(y > 0, COST * len(y) / (2 * (y > 0).sum()), COST * len(y) / (2 * (y < 0).sum()))
 
@@ -166,17 +182,14 @@ def fit(documents: list[tuple[set[bytes], int]]) -> dict:
             margins[i] = margin(i, *model)
     a, b = logistic_fit(margins, y)
     ratios, w = trained(np.arange(len(y)))
-    vocabulary = frozenset(g[1:] for g in known if g[:1] == b"=")
+    vocabulary = frozenset(g for g in known if isinstance(g, bytes) or isinstance(g[1], bytes))
     return {"vocabulary": vocabulary, "weights": {g: (float(w[k] * ratios[k]), float(ratios[k] ** 2)) for g, k in known.items()}, "bias": float(w[-1]), "a": a, "b": b}
 
 
-def score(model: dict, found: set[bytes]) -> float:
-    weights, total, square = model["weights"], 0.0, 0.0
-    for g in sorted(found & weights.keys()):
-        w, r = weights[g]
-        total += w
-        square += r
-    m = total / max(math.sqrt(square), 1e-9) + model["bias"]
+def score(model: dict, found: set) -> float:
+    # fsum is exact, so the sums do not hang on a set's order.
+    told = [model["weights"][g] for g in found & model["weights"].keys()]
+    m = math.fsum(w for w, _ in told) / max(math.sqrt(math.fsum(r for _, r in told)), 1e-9) + model["bias"]
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, model["a"] * m + model["b"]))))
 
 
@@ -188,24 +201,27 @@ def remainder(doc_id: Column, parts: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, rows: int) -> DataFrame:
-    """text, y of at most ``rows`` labelled documents that are not held out, by seeded hash."""
+    """text, y, _id of at most ``rows`` labelled documents that are not held out, by seeded hash."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(label).cast("int").alias("y"))
     chosen = known.where(remainder(F.col("_id"), parts) != held).orderBy(F.xxhash64("_id", F.lit(SEED)), "_id").limit(rows)
+    text = F.col("text").cast("string")
     # At most ``rows`` rows of two numbers, whatever the size of the tables.
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_id").select("text", "y", F.col("_id"))
+    drawn = docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("text"), F.xxhash64(text).alias("_hash")).join(F.broadcast(chosen), "_id")
+    # One row for each id, however many share it, so that no row is left to chance.
+    return drawn.groupBy("_id").agg(F.min_by("text", "_hash").alias("text"), F.first("y").alias("y")).select("text", "y", "_id")
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [b"\x00".join(sorted(grams(t))) for t in texts(batch)]
+        found = [pickle.dumps(grams(t), protocol=5) for t in texts(batch)]
         yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "y", "grams"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held: int = 2, rows: int = TRAIN_ROWS) -> dict:
     prepare(docs.sparkSession)
     drawn = sample(docs, labels, label, parts, held, rows).mapInArrow(_gram_rows, "doc_id long, y int, grams binary")
-    got = sorted(drawn.limit(rows).collect(), key=lambda r: (r["doc_id"], r["y"], bytes(r["grams"])))
-    return fit([(set(bytes(r["grams"]).split(b"\x00")), r["y"]) for r in got])
+    got = sorted(drawn.collect(), key=lambda r: r["doc_id"])
+    return fit([(pickle.loads(bytes(r["grams"])), r["y"]) for r in got])
 
 
 def scored(docs: DataFrame, model: dict, parts: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
@@ -230,9 +246,11 @@ def accepted(docs: DataFrame, labels: DataFrame, reject_below: float = REJECT_BE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([score(sent.value, grams(t, sent.value["vocabulary"])) >= reject_below for t in texts(batch)], pa.bool_()))
+            kept = batch.filter(pa.array([score(sent.value, grams(t, sent.value["vocabulary"])) >= reject_below for t in texts(batch)], pa.bool_()))
+            row = kept.column(1)
+            yield pa.RecordBatch.from_arrays(row.flatten(), schema=pa.schema(list(row.type)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return packed(docs).select("text", "row").mapInArrow(run, docs.schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,25 +1,32 @@
 """Toxicity: a counterfactual-regularised classifier.
 
 A logistic model of word indicators. Sentences of the labelled training rows that
-name a group are paired with copies in which the name is swapped for others of
-its kind; the squared change of the score's logit over those pairs is added to
-the loss, so that neither a group's name nor a word beside it raises the score
-of a sentence that is otherwise neutral.
+name a group are paired with copies in which the name is swapped for each other of
+its kind; the squared change of the score's logit over those pairs is added to the
+loss, so that neither a group's name nor a word beside it raises the score of a
+sentence that is otherwise neutral. Where texts seldom name a group, there is
+nothing to swap: one in INSERT_EVERY texts without a name therefore gets one put
+into a sentence, chosen by the text's hash alone, keeps its label, and is paired
+with its swaps and with the sentence as it was.
 
 The model is fitted on at most ``TRAIN_ROWS`` labelled rows, those of smallest
 seeded hash; every row is scored on its whole text.
 
 Defined results
   * null or empty text: scored by the model like a text without words;
+  * texts of any length: memory follows the longest;
   * null doc_id: never a training row, held_out false;
+  * documents that repeat a doc_id: the one of smallest text hash is trained on;
   * labels that repeat a doc_id: its smallest label; null labels: not used;
   * no labels, or one class only: that class's share is every row's score;
-  * repeated rows: each is scored; empty table: no rows.
+  * repeated rows: each is scored; extra columns: left out; empty table: no rows.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,13 +40,14 @@ from sightline.llm.session import docs_of, prepare, texts
 
 TRAIN_ROWS = 8_000
 THRESHOLD = 0.7
-VOCABULARY = 4_000
-#: A word is kept if its shares in the two classes differ by so many standard deviations.
+#: A word is an indicator if its shares in the two classes differ by so many standard deviations.
 LEAST_Z = 3.0
 L2 = 1e-5
 FAIRNESS = 5.0
 ROUNDS = 600
-#: Names of groups by kind; a name is swapped for the others of its kind.
+#: One in so many training texts that name no group gets a name put in.
+INSERT_EVERY = 4
+#: Names of groups by kind, in four languages; a name is swapped for the others of its kind.
 IDENTITIES = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -51,6 +59,21 @@ IDENTITIES = (
     ("immigrants", "refugees", "foreigners", "citizens", "locals"),
     ("deaf", "blind", "disabled", "autistic"),
     ("old", "young", "elderly", "teenage"),
+    ("mujeres", "hombres"),
+    ("niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "budistas", "ateos", "católicos"),
+    ("negros", "blancos", "asiáticos", "latinos", "africanos", "europeos", "indígenas"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
+    ("femmes", "hommes"),
+    ("filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "bouddhistes", "athées", "catholiques"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens", "autochtones"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"),
+    ("frauen", "männer"),
+    ("mädchen", "buben"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten", "katholiken"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+    ("einwanderer", "flüchtlinge", "ausländer", "bürger"),
 )
 
 _SPACED = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -79,23 +102,57 @@ def words_of(text: bytes) -> list[bytes]:
     return lower(text).translate(_SPACED).split()
 
 
-def swaps(text: bytes, known: dict, most: int = 3) -> list[tuple[set[bytes], set[bytes]]]:
-    """(features of a sentence, features with its groups' names swapped), for sentences that name one."""
+def _change(words: list[bytes], other: list[bytes], known: dict) -> tuple[set[bytes], set[bytes]]:
+    """Features that ``other`` has and ``words`` has not, and the reverse."""
+    a, b = features(words, known), features(other, known)
+    return b - a, a - b
+
+
+def swaps(text: bytes, known: dict) -> list[tuple[set[bytes], set[bytes]]]:
+    """(features gained, features lost) for each swap of the names in a sentence that holds one."""
     out = []
     for sentence in lower(text).translate(_SENTENCE).split(b"\n"):
         words = sentence.split()
         if known.keys().isdisjoint(words):
             continue
-        here = features(words, known)
-        for k in range(1, most + 1):
+        for k in range(1, max(len(known[w]) for w in words if w in known)):
             turn = [known[w][(known[w].index(w) + k) % len(known[w])] if w in known else w for w in words]
             if turn != words:
-                out.append((here, features(turn, known)))
+                out.append(_change(words, turn, known))
     return out
 
 
-def fit(documents: list[tuple[set[bytes], int]], pairs: list[tuple[set[bytes], set[bytes]]], fairness: float = FAIRNESS, rounds: int = ROUNDS) -> dict:
-    """A model, as plain values, from (features, label) rows and counterfactual pairs."""
+def inserted(text: bytes, known: dict, every: int = INSERT_EVERY) -> tuple[bytes, list[tuple[set[bytes], set[bytes]]]] | None:
+    """A text with a name put into one of its sentences, and the pairs that follow; None for those left as they are."""
+    body = lower(text)
+    draw = zlib.crc32(body)
+    sentences = body.translate(_SENTENCE).split(b"\n")
+    spoken = [k for k, s in enumerate(sentences) if s.split()]
+    if draw % every or not spoken or not known.keys().isdisjoint(words_of(body)):
+        return None
+    names = sorted(known)
+    # The quotient's digits, so that the choices do not hang together.
+    draw, k = divmod(draw // every, len(spoken))
+    draw, name = divmod(draw, len(names))
+    words = sentences[spoken[k]].split()
+    place = draw % (len(words) + 1)
+    told = [*words[:place], names[name], *words[place:]]
+    sentences[spoken[k]] = b" ".join(told)
+    return b"\n".join(sentences), [_change(words, told, known), *swaps(b" ".join(told), known)]
+
+
+def prepared(text: bytes, known: dict) -> tuple[set[bytes], list[tuple[set[bytes], set[bytes]]]]:
+    """A training row's features and counterfactual pairs."""
+    put = inserted(text, known)
+    body, pairs = put if put else (text, swaps(text, known))
+    return features(words_of(body), known), pairs
+
+
+def fit(documents: list[tuple[set[bytes], int]], pairs: list[tuple[set[bytes], set[bytes]]] = (), fairness: float = FAIRNESS, rounds: int = ROUNDS) -> dict:
+    """A model, as plain values, from (features, label) rows and counterfactual pairs (gained, lost).
+
+    It minimises mean log loss + L2 |w|^2 / 2 + fairness * mean squared change of logit over the pairs.
+    """
     y = np.array([float(bool(label)) for _, label in documents])
     n, ups = len(y), y.sum()
     if not 0 < ups < n:
@@ -111,12 +168,12 @@ def fit(documents: list[tuple[set[bytes], int]], pairs: list[tuple[set[bytes], s
         z = (a / ups - b / (n - ups)) / math.sqrt(p * (1 - p) * (1 / ups + 1 / (n - ups)))
         if abs(z) >= LEAST_Z and a + b > 1:
             kept.append((-abs(z), g))
-    named = sorted({g for x, x2 in pairs for g in x ^ x2})
-    at = {g: k for k, g in enumerate(dict.fromkeys([g for _, g in sorted(kept)[:VOCABULARY]] + named))}
+    named = sorted({g for gained, lost in pairs for g in gained | lost})
+    at = {g: k for k, g in enumerate(dict.fromkeys([g for _, g in sorted(kept)] + named))}
     rows = [[at[g] for g in found if g in at] for found, _ in documents]
     of, col = np.repeat(np.arange(n), [len(r) for r in rows]), np.array([k for r in rows for k in r], dtype=np.int64)
     # A pair's change of logit is linear: +1 for what the swap brings, -1 for what it takes away.
-    change = [[(at[g], 1.0) for g in x2 - x if g in at] + [(at[g], -1.0) for g in x - x2 if g in at] for x, x2 in pairs]
+    change = [[(at[g], 1.0) for g in sorted(gained)] + [(at[g], -1.0) for g in sorted(lost)] for gained, lost in pairs]
     c_of = np.repeat(np.arange(len(pairs)), [len(r) for r in change])
     c_col = np.array([k for r in change for k, _ in r], dtype=np.int64)
     c_sign = np.array([s for r in change for _, s in r])
@@ -144,28 +201,25 @@ def fit(documents: list[tuple[set[bytes], int]], pairs: list[tuple[set[bytes], s
 
 def score(model: dict, text: bytes, known: dict) -> float:
     weights = model["weights"]
-    m = model["bias"] + sum(weights[g] for g in sorted(features(words_of(text), known) & weights.keys()))
+    m = model["bias"] + math.fsum(weights[g] for g in features(words_of(text), known) & weights.keys())
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, m))))
 
 
 # -- Spark ------------------------------------------------------------------
 
 
-def train(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, rows: int = TRAIN_ROWS, identities: tuple = IDENTITIES) -> dict:
+def train(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, rows: int = TRAIN_ROWS, identities: tuple = IDENTITIES, fairness: float = FAIRNESS) -> dict:
     prepare(docs.sparkSession)
     known = kinds(identities)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = texts(batch)
-            found = [b"\x00".join(sorted(features(words_of(t), known))) for t in bodies]
-            changed = [[[b"\x00".join(sorted(x)), b"\x00".join(sorted(x2))] for x, x2 in swaps(t, known)] for t in bodies]
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(found, pa.binary()), pa.array(changed, pa.list_(pa.list_(pa.binary())))], ["doc_id", "y", "found", "pairs"])
-
-    drawn = sample(docs, labels, "toxic", parts, held, rows).mapInArrow(run, "doc_id long, y int, found binary, pairs array<array<binary>>")
-    got = sorted(drawn.limit(rows).collect(), key=lambda r: (r["doc_id"], r["y"], bytes(r["found"])))
-    some = lambda x: set(bytes(x).split(b"\x00")) - {b""}
-    return fit([(some(r["found"]), r["y"]) for r in got], [(some(a), some(b)) for r in got for a, b in r["pairs"]])
+            told = [pickle.dumps(prepared(t, known), protocol=5) for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(told, pa.binary())], ["doc_id", "y", "told"])
+
+    drawn = sample(docs, labels, "toxic", parts, held, rows).mapInArrow(run, "doc_id long, y int, told binary")
+    got = [(r["y"], *pickle.loads(bytes(r["told"]))) for r in sorted(drawn.collect(), key=lambda r: r["doc_id"])]
+    return fit([(found, y) for y, found, _ in got], [p for *_, pairs in got for p in pairs], fairness)
 
 
 def scored(docs: DataFrame, model: dict, parts: int = 3, held: int = 1, threshold: float = THRESHOLD, identities: tuple = IDENTITIES) -> DataFrame:

@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import Row
 
 DATA = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, rank int"
+#: Columns of documents, and names that the operators use themselves.
+CLASHES = "row text_hash gone spans _id _none _n _k _c _t _th _d _s _text _copy h1 h2 d1 d2 size taken quota label head y".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, rank int, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
 @pytest.fixture(scope="session")
@@ -10,7 +12,7 @@ def make_docs(spark):
     """Documents from (doc_id, text[, source]) with columns whose names the operators use themselves."""
 
     def make(rows):
-        full = [(r[0], r[1], None, r[2] if len(r) > 2 else "s", None if r[1] is None else len(r[1]), None, 1, 2) for r in rows]
+        full = [(r[0], r[1], None, r[2] if len(r) > 2 else "s", None if r[1] is None else len(r[1]), None, 1, 2, *CLASHES) for r in rows]
         return spark.createDataFrame(full, SCHEMA)
 
     return make

@@ -39,11 +39,11 @@ def plain_line_dedup(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("most_bytes", [linededup.MOST_BYTES, -1])
-def test_line_dedup(make_docs, odd_rows, most_bytes):
+@pytest.mark.parametrize(("shard_keys", "probes"), [(linededup.SHARD_KEYS, linededup.PROBES), (1, 2)])
+def test_line_dedup(make_docs, odd_rows, shard_keys, probes):
     shared = "This line is shared by several documents"
     rows = odd_rows + [(k, f"own {k}\n  {shared.upper() if k % 2 else shared}\r\n{'é' * 20}\n{'é' * 19}\nend") for k in range(20, 26)] + [(None, shared), (30, shared + "\n" + shared)]
-    got = linededup.shared_lines(make_docs(rows), most_bytes=most_bytes)
+    got = linededup.shared_lines(make_docs(rows), shard_keys=shard_keys, probes=probes)
     assert sorted([tuple(r) for r in got.collect()], key=str) == plain_line_dedup(rows)
 
 
@@ -58,6 +58,15 @@ def test_line_dedup_keeps_columns(make_docs):
 
 def test_line_dedup_empty(make_docs):
     assert linededup.shared_lines(make_docs([])).collect() == []
+    assert linededup.without_shared_lines(make_docs([])).collect() == []
+
+
+def test_line_dedup_probes_arrays(make_docs):
+    """Lines meet the index as a stream past a shard's arrays: no join has their hashes as keys."""
+    found = linededup.shared_keys(make_docs([(k, "This line is shared by several documents\nand one is not, of document %d" % k) for k in range(5)]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and ("h1" in line or "h2" in line)]
+    assert {r.doc_id: len(r.gone) for r in found.collect()} == {0: 1, 1: 1, 2: 1, 3: 1}
 
 
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=400))
@@ -70,9 +79,9 @@ def test_perfect_hash_is_minimal(keys):
 
 def test_shard_with_colliding_halves():
     h1, h2 = np.array([5, 5, 9]), np.array([1, 2, 1])
-    shard = linededup.Shard(h1, h2, np.array([3, 4, 5]), np.array([30, 40, 50]))
+    shard = linededup.Shard(h1, h2, np.array([3, 400, 2]), np.array([30, 40, 50]))
     ok, keeper = shard.probe(np.array([5, 5, 9, 9, 7]), np.array([2, 1, 1, 2, 1]))
-    assert ok.tolist() == [True, True, True, False, False] and keeper[:3].tolist() == [40, 30, 50]
+    assert ok.tolist() == [True, True, False, False, False] and keeper[:2].tolist() == [40, 30]
 
 
 # -- SimHash
@@ -516,8 +525,133 @@ def test_toxicity_learns_and_is_fair(make_docs, spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_toxicity_penalty_acts_without_names(make_docs, spark):
+    """Where no text names a group, names are put in: the fit differs with the penalty off, and names stay neutral."""
+    rows = [(k, " ".join(f"word{(k * 7 + j) % 40} stone." for j in range(8)) + (" awful nastyword." if k % 5 == 0 else ""), int(k % 5 == 0)) for k in range(400)]
+    known = toxicity.kinds()
+    told = [(toxicity.prepared(t.encode(), known), y) for _, t, y in rows]
+    pairs = [p for (_, ps), _ in told for p in ps]
+    docs = [(found, y) for (found, _), y in told]
+    assert len(pairs) > 200
+    free, fair = toxicity.fit(docs, pairs, 0.0), toxicity.fit(docs, pairs)
+    change = lambda m: float(np.sqrt(np.mean([(sum(m["weights"].get(g, 0) for g in a) - sum(m["weights"].get(g, 0) for g in b)) ** 2 for a, b in pairs])))
+    assert change(fair) < 0.05 * change(free) and free["weights"] != fair["weights"]
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    trained = [toxicity.train(make_docs([r[:2] for r in rows]), labels, fairness=f) for f in (0.0, toxicity.FAIRNESS)]
+    assert trained[0]["weights"] != trained[1]["weights"]
+    assert toxicity.scored(make_docs([]), fair).collect() == []
+
+
+def test_every_name_of_a_kind_is_tried():
+    known = toxicity.kinds()
+    pairs = toxicity.swaps(b"Some muslims came. Nobody else.", known)
+    assert len(pairs) == len(known[b"muslims"]) - 1 and {n for g, _ in pairs for n in g if b" " not in n} == set(known[b"muslims"]) - {b"muslims"}
+    assert all(len(set(k)) == len(k) for k in toxicity.IDENTITIES) and len(known) == sum(map(len, toxicity.IDENTITIES))
+
+
+def test_toxicity_reaches_the_optimum():
+    """The fitted loss against plain gradient descent with a small step."""
+    known = toxicity.kinds()
+    rows = [(f"the {('boat', 'ship', 'raft')[k % 3]} of {('women', 'men')[k % 2]} {'nasty' if k % 4 == 0 else 'calm'} day{k % 5}.", int(k % 4 == 0)) for k in range(60)]
+    told = [(toxicity.prepared(t.encode(), known), y) for t, y in rows]
+    docs, pairs = [(f, y) for (f, _), y in told], [p for (_, ps), _ in told for p in ps]
+    model = toxicity.fit(docs, pairs, rounds=4000)
+    names = sorted(model["weights"])
+    x = np.array([[float(g in f) for g in names] for f, _ in docs])
+    y = np.array([float(v) for _, v in docs])
+    d = np.array([[float(g in a) - float(g in b) for g in names] for a, b in pairs])
+
+    def loss(w, b):
+        m = x @ w + b
+        return np.mean(np.logaddexp(0, m) - y * m) + toxicity.L2 * w @ w / 2 + toxicity.FAIRNESS * np.mean((d @ w) ** 2)
+
+    w, b = np.zeros(len(names)), 0.0
+    for _ in range(60_000):
+        p = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - 0.05 * (x.T @ p / len(y) + toxicity.L2 * w + 2 * toxicity.FAIRNESS * d.T @ (d @ w) / len(d)), b - 0.05 * p.mean()
+    assert loss(np.array([model["weights"][g] for g in names]), model["bias"]) <= loss(w, b) + 1e-3
+
+
+def plain_quality(docs, text):
+    """The score of a text by a dense model: n-grams by hand, ratios, a hinge loss by subgradients, no sharing of code but the curve's fit."""
+    def shape(word):
+        out = []
+        for ch in word:
+            c = "a" if ord(ch) >= 0x80 or ch.islower() else "A" if ch.isupper() else "0" if ch.isdigit() else ch
+            if len(out) < 2 or out[-1] != c or out[-2] != c:
+                out.append(c)
+        return "".join(out)
+
+    def grams(t):
+        words, shapes = t.lower().split(), [shape(w) for w in t.split()]
+        found = {("w", w) for w in words} | {("b", *ab) for ab in zip(words, words[1:])}  # noqa: B905
+        for seq, name in ((shapes, "s"), (list(zip(shapes, shapes[1:])), "p")):  # noqa: B905
+            for g in set(seq):
+                level = sum(seq.count(g) / len(words) > s for s in quality.SHARES)
+                found |= {(name, g, k) for k in range(level)}
+        return found
+
+    rows = [(grams(t), 1 if y else -1) for t, y in docs]
+    counts = defaultdict(int)
+    for g, _ in rows:
+        for x in g:
+            counts[x] += 1
+    names = sorted((x for x, c in counts.items() if c >= quality.LEAST_DOCS), key=repr)
+    f = np.array([[float(x in g) for x in names] for g, _ in rows])
+    y = np.array([s for _, s in rows])
+    p, q = f[y > 0].sum(axis=0) + 1, f[y < 0].sum(axis=0) + 1
+    r = np.log((p / p.sum()) / (q / q.sum()))
+    scale = lambda v: v * r / max(np.linalg.norm(v * r), 1e-9)
+    x = np.hstack([np.array([scale(v) for v in f]), np.ones((len(f), 1))])
+    cost = np.where(y > 0, quality.COST * len(y) / (2 * (y > 0).sum()), quality.COST * len(y) / (2 * (y < 0).sum()))
+    w = np.zeros(x.shape[1])
+    for k in range(1, 60_000):
+        w -= (1.0 / (k + 50)) * (w - (cost * y * (y * (x @ w) < 1)) @ x)
+    one = np.append(scale(np.array([float(n in grams(text)) for n in names])), 1.0)
+    return float(one @ w)
+
+
+def test_quality_margins_against_a_plain_model():
+    docs = [(" ".join(f"Plain words number {j} make a sentence." for j in range(3 + k % 4)), 1) for k in range(14)] + [(" ".join(f"JUNK{j}!! CLICK$$$ now***" for j in range(3 + k % 4)), 0) for k in range(9)]
+    docs += [("Plain words CLICK$$$ now***", 1), ("JUNK1!! make a sentence.", 0)]
+    model = quality.fit([(quality.grams(t.encode()), y) for t, y in docs])
+    for text in ("Plain words make a JUNK1!! sentence.", "CLICK$$$ now*** now***", "number 1 make"):
+        s = quality.score(model, quality.grams(text.encode(), model["vocabulary"]))
+        margin = (np.log(s / (1 - s)) - model["b"]) / model["a"]
+        assert margin == pytest.approx(plain_quality(docs, text), abs=0.03)
+
+
+def test_repeated_ids_train_once(make_docs, spark):
+    docs = make_docs([(1, f"text number {k}") for k in range(50)] + [(k, f"other {k}") for k in range(2, 20)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 20)], "doc_id long, quality int")
+    drawn = quality.sample(docs, labels, "quality", 4, 2, 100).collect()
+    assert len({r["_id"] for r in drawn}) == len(drawn) and {r["_id"] for r in drawn} == {k for k in range(1, 20) if zlib.crc32(str(k).encode()) % 4 != 2}
+    assert len(quality.sample(docs, labels, "quality", 4, 2, 5).collect()) == 5
+
+
 def test_texts_of_large_strings():
     from sightline.llm.session import texts
 
     batch = pa.RecordBatch.from_arrays([pa.array(["é", None], pa.large_string())], ["text"])
     assert texts(batch) == ["é".encode(), b""]
+
+
+@pytest.mark.parametrize("through", ["accepted", "without_shared_lines", "representatives", "mixed_texts", "without_repeats"])
+def test_clashing_columns_pass_through(make_docs, spark, odd_rows, through):
+    """Operators that return the caller's rows leave every other column as it was, whatever its name, and take empty tables."""
+    from tests.llm.conftest import CLASHES
+
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    shared = "This line is shared by several documents\n" + " ".join(f"passage{k}" for k in range(40))
+    rows = [*odd_rows, *[(k, f"{shared}\nown {k}") for k in range(20, 25)], (20, f"{shared}\nown 20")]
+    run = {
+        "accepted": lambda d: quality.accepted(d, labels), "without_shared_lines": linededup.without_shared_lines, "representatives": simhash.representatives,
+        "mixed_texts": mixing.mixed_texts, "without_repeats": cdc.without_repeats,
+    }[through]
+    docs = make_docs(rows)
+    out = run(docs)
+    assert out.schema == docs.schema
+    got = out.collect()
+    assert got and all(r[c] == c for r in got for c in CLASHES) and all((r.lang, r.score, r.fp, r["rank"]) == (None, None, 1, 2) for r in got)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+    assert run(make_docs([])).collect() == []
