@@ -27,7 +27,6 @@ Defined results
 from __future__ import annotations
 
 import math
-import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.session import docs_of, packed, prepare, texts
+from sightline.llm.session import docs_of, kept, packed, prepare, texts
 
 TRAIN_ROWS = 6_000
 THRESHOLD = 0.7
@@ -96,9 +95,24 @@ def grams(text: bytes, vocabulary: frozenset | None = None) -> set:
     return found
 
 
-def _order(gram: object) -> str:
-    """A total order of n-grams, so that sums do not depend on a set's order."""
-    return repr(gram)
+def coded(gram: object) -> bytes:
+    """An n-gram as bytes, in which no other has the same form; words and shapes hold no white space."""
+    if isinstance(gram, bytes):
+        return b"w " + gram
+    if isinstance(gram[1], bytes):
+        return b"b " + b" ".join(gram)
+    shape, level = gram
+    return b"s %d " % level + shape if isinstance(shape, bytes) else b"p %d " % level + b" ".join(shape)
+
+
+def decoded(code: bytes) -> object:
+    kind, rest = code[:1], code[2:]
+    if kind == b"w":
+        return rest
+    if kind == b"b":
+        return tuple(rest.split(b" "))
+    level, shape = rest.split(b" ", 1)
+    return (shape if kind == b"s" else tuple(shape.split(b" "))), int(level)
 
 
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, width: int, smooth: float = 1.0) -> np.ndarray:
@@ -148,15 +162,19 @@ def logistic_fit(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(documents: list[tuple[set, int]]) -> dict:
     """A model, as plain values, from (grams, label) rows."""
-    y = np.array([1 if label else -1 for _, label in documents])
+    df = Counter(g for found, _ in documents for g in map(coded, found))
+    names = sorted(g for g, c in df.items() if c >= LEAST_DOCS)
+    known = {decoded(g): k for k, g in enumerate(names)}
+    return fitted([sorted(known[g] for g in found if g in known) for found, _ in documents], [label for _, label in documents], names)
+
+
+def fitted(rows: list, labels: list[int], names: list[bytes]) -> dict:
+    """A model from rows of places in ``names``, the coded n-grams."""
+    y = np.array([1 if label else -1 for label in labels])
     if len(set(y.tolist())) < 2:
         share = (float((y > 0).mean()) * len(y) + 1) / (len(y) + 2) if len(y) else 0.5
         return {"weights": {}, "vocabulary": frozenset(), "bias": 0.0, "a": 0.0, "b": math.log(share / (1 - share))}
-    df: Counter = Counter()
-    for found, _ in documents:
-        df.update(found)
-    known = {g: k for k, g in enumerate(sorted((g for g, c in df.items() if c >= LEAST_DOCS), key=_order))}
-    rows = [np.array(sorted(known[g] for g in found if g in known), dtype=np.int64) for found, _ in documents]
+    rows, known = [np.array(r, dtype=np.int64) for r in rows], names
     cost = np.where(y > 0, COST * len(y) / (2 * (y > 0).sum()), COST * len(y) / (2 * (y < 0).sum()))
 
     def trained(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,8 +200,8 @@ def fit(documents: list[tuple[set, int]]) -> dict:
             margins[i] = margin(i, *model)
     a, b = logistic_fit(margins, y)
     ratios, w = trained(np.arange(len(y)))
-    vocabulary = frozenset(g for g in known if isinstance(g, bytes) or isinstance(g[1], bytes))
-    return {"vocabulary": vocabulary, "weights": {g: (float(w[k] * ratios[k]), float(ratios[k] ** 2)) for g, k in known.items()}, "bias": float(w[-1]), "a": a, "b": b}
+    weights = {decoded(g): (float(w[k] * ratios[k]), float(ratios[k] ** 2)) for k, g in enumerate(names)}
+    return {"vocabulary": frozenset(g for g in weights if isinstance(g, bytes) or isinstance(g[1], bytes)), "weights": weights, "bias": float(w[-1]), "a": a, "b": b}
 
 
 def score(model: dict, found: set) -> float:
@@ -213,15 +231,31 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [pickle.dumps(grams(t), protocol=5) for t in texts(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "y", "grams"])
+        found = [list(map(coded, grams(t))) for t in texts(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(found, pa.list_(pa.binary()))], ["doc_id", "y", "grams"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held: int = 2, rows: int = TRAIN_ROWS) -> dict:
-    prepare(docs.sparkSession)
-    drawn = sample(docs, labels, label, parts, held, rows).mapInArrow(_gram_rows, "doc_id long, y int, grams binary")
-    got = sorted(drawn.collect(), key=lambda r: r["doc_id"])
-    return fit([(pickle.loads(bytes(r["grams"])), r["y"]) for r in got])
+    """The model of the sample. The driver sees n-grams that LEAST_DOCS documents hold, and rows of their numbers."""
+    spark = prepare(docs.sparkSession)
+    drawn = kept(sample(docs, labels, label, parts, held, rows).mapInArrow(_gram_rows, "doc_id long, y int, grams array<binary>"), "grams")
+    shared = drawn.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS)
+    names = sorted(shared.select("g").toArrow().column("g").to_pylist())
+    # Bounded by the sample: what TRAIN_ROWS documents share.
+    sent = spark.sparkContext.broadcast(names)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {g: k for k, g in enumerate(sent.value)}
+        for batch in batches:
+            at = [sorted(place[g] for g in found if g in place) for found in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32()))], ["doc_id", "y", "at"])
+
+    got = drawn.mapInArrow(numbered, "doc_id long, y int, at array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    column = got.column("at").combine_chunks()
+    at, ends = (column.values.to_numpy(), column.offsets.to_numpy()) if got.num_rows else ([], [0])
+    model = fitted([at[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], got.column("y").to_pylist(), names)
+    sent.unpersist()
+    return model
 
 
 def scored(docs: DataFrame, model: dict, parts: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
@@ -246,8 +280,8 @@ def accepted(docs: DataFrame, labels: DataFrame, reject_below: float = REJECT_BE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = batch.filter(pa.array([score(sent.value, grams(t, sent.value["vocabulary"])) >= reject_below for t in texts(batch)], pa.bool_()))
-            row = kept.column(1)
+            stay = batch.filter(pa.array([score(sent.value, grams(t, sent.value["vocabulary"])) >= reject_below for t in texts(batch)], pa.bool_()))
+            row = stay.column(1)
             yield pa.RecordBatch.from_arrays(row.flatten(), schema=pa.schema(list(row.type)))
 
     return packed(docs).select("text", "row").mapInArrow(run, docs.schema)

@@ -218,8 +218,15 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, row
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(told, pa.binary())], ["doc_id", "y", "told"])
 
     drawn = sample(docs, labels, "toxic", parts, held, rows).mapInArrow(run, "doc_id long, y int, told binary")
-    got = [(r["y"], *pickle.loads(bytes(r["told"]))) for r in sorted(drawn.collect(), key=lambda r: r["doc_id"])]
-    return fit([(found, y) for y, found, _ in got], [p for *_, pairs in got for p in pairs], fairness)
+    pool: dict[bytes, bytes] = {}  # one object for each feature
+    shared = lambda found: {pool.setdefault(g, g) for g in found}
+    table = drawn.toArrow().sort_by("doc_id")
+    rows_of, pairs = [], []
+    for y, told in zip(table.column("y").to_pylist(), table.column("told"), strict=True):
+        found, own = pickle.loads(told.as_py())
+        rows_of.append((shared(found), y))
+        pairs += [(shared(gained), shared(lost)) for gained, lost in own]
+    return fit(rows_of, pairs, fairness)
 
 
 def scored(docs: DataFrame, model: dict, parts: int = 3, held: int = 1, threshold: float = THRESHOLD, identities: tuple = IDENTITIES) -> DataFrame:

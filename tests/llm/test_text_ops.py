@@ -621,6 +621,13 @@ def test_quality_margins_against_a_plain_model():
         assert margin == pytest.approx(plain_quality(docs, text), abs=0.03)
 
 
+@given(st.lists(st.sampled_from(["Plain", "JUNK!!", "a1", "é", "word"]), max_size=9).map(" ".join))
+@settings(max_examples=50, deadline=None)
+def test_grams_are_coded_reversibly(text):
+    found = quality.grams(text.encode())
+    assert {quality.decoded(quality.coded(g)) for g in found} == found and len(set(map(quality.coded, found))) == len(found)
+
+
 def test_repeated_ids_train_once(make_docs, spark):
     docs = make_docs([(1, f"text number {k}") for k in range(50)] + [(k, f"other {k}") for k in range(2, 20)])
     labels = spark.createDataFrame([(k, k % 2) for k in range(1, 20)], "doc_id long, quality int")
@@ -650,7 +657,7 @@ def test_clashing_columns_pass_through(make_docs, spark, odd_rows, through):
     }[through]
     docs = make_docs(rows)
     out = run(docs)
-    assert out.schema == docs.schema
+    assert out.dtypes == docs.dtypes
     got = out.collect()
     assert got and all(r[c] == c for r in got for c in CLASHES) and all((r.lang, r.score, r.fp, r["rank"]) == (None, None, 1, 2) for r in got)
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
