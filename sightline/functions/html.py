@@ -1,20 +1,24 @@
 """Saved pages: one pass over the markup for titles, text, links and structured data.
 
-Tag soup needs a state machine, so this is an Arrow-batched Python function that
-returns one struct for each page; everything after it is expressions again.
+Markup is read once into a list of events, of which each fact is a function of its
+own. That is an Arrow-batched Python function which returns one struct for each
+page; everything after it is expressions again.
 """
 
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+
 def _struct(texts: str, **more: S.DataType) -> S.StructType:
     return S.StructType([S.StructField(c, S.StringType()) for c in texts.split()] + [S.StructField(c, t) for c, t in more.items()])
 
@@ -34,96 +38,117 @@ def squeezed(parts: list[str]) -> str:
     return " ".join(" ".join(parts).split())
 
 
-class Page(HTMLParser):
-    """Collects what the audit needs; an anchor or heading that never closes counts as the rules below say.
+class Event(NamedTuple):
+    """What the markup does next: a tag opens or closes, or text comes, with where that is."""
+
+    kind: str  # "open", "close", or a text's home: "title", "data" (of a JSON-LD script), "body"
+    value: str  # the tag's name, or the text
+    given: dict  # an opening tag's attributes
+    place: str  # footer, nav or content
+    shown: bool
+    top: bool  # nothing is open around it
+
 
-    Links open at ``<a href>`` and are kept once closed; anchors inside anchors are
-    ignored. Text in the title is not visible text. The first closed ``<h1>`` wins,
-    the last canonical and robots do. Links take the place (footer, nav, content)
-    at which they open.
-    """
+class Events(HTMLParser):
+    """Markup as a list of events. Tag soup is mended in one way only: a closing tag closes what is open inside it."""
 
-    def __init__(self, base: str) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.base, self.open, self.hidden = base, [], 0
-        self.title, self.h1, self.visible, self.content = [], [], [], []
-        self.links, self.blocks = [], []
-        self.canonical = self.robots = self.lang = ""
-        self.state = {"title": False, "h1": False}
-        self.h1_closed, self.link, self.data = False, None, None
+        self.events: list[Event] = []
+        self.path: list[str] = []
+        self.hidden, self.home = 0, "body"
 
-    def place(self) -> str:
-        return next((p for p in ("footer", "nav") if p in self.open), "content")
+    def emit(self, kind: str, value: str, given: dict | None = None) -> None:
+        place = "footer" if "footer" in self.path else "nav" if "nav" in self.path else "content"
+        self.events.append(Event(kind, value, given or {}, place, not self.hidden, not self.path))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        given = {k.lower(): v or "" for k, v in attrs}
-        if tag == "html" and not self.open:
-            self.lang = given.get("lang", "").strip()
+        given = {name.lower(): text or "" for name, text in attrs}
         if tag not in EMPTY:
-            self.open.append(tag)
+            at_top = not self.path
+            self.path.append(tag)
+        else:
+            at_top = not self.path
+        self.emit("open", tag, given)
+        self.events[-1] = self.events[-1]._replace(top=at_top)
         self.hidden += tag in HIDDEN
-        if tag == "script" and given.get("type", "").strip().lower() == "application/ld+json":
-            self.data = []
-            return
-        getattr(self, f"on_{tag}", lambda given: None)(given)
+        if is_data(self.events[-1]):
+            self.home = "data"
+        elif tag == "title" and self.home == "body":
+            self.home = "title"
+
+    def handle_endtag(self, tag: str) -> None:
+        self.hidden -= bool(self.hidden) and tag in HIDDEN
+        if (tag, self.home) in (("script", "data"), ("title", "title")):
+            self.home = "body"
+        self.emit("close", tag)
+        if tag in self.path:
+            last = len(self.path) - 1 - self.path[::-1].index(tag)
+            del self.path[last:]
 
-    def on_title(self, given: dict) -> None:
-        self.state["title"] = True
+    def handle_data(self, data: str) -> None:
+        self.emit(self.home, data)
 
-    def on_h1(self, given: dict) -> None:
-        self.state["h1"] = not self.h1_closed
 
-    def on_link(self, given: dict) -> None:
-        if given.get("href") and "canonical" in given.get("rel", "").lower().split():
-            self.canonical = urljoin(self.base, given["href"])
+def is_data(e: Event) -> bool:
+    return e.kind == "open" and e.value == "script" and e.given.get("type", "").strip().lower() == "application/ld+json"
 
-    def on_meta(self, given: dict) -> None:
-        if given.get("name", "").lower() == "robots":
-            self.robots = given.get("content", "")
 
-    def on_a(self, given: dict) -> None:
-        href = given.get("href", "")
-        if href and self.link is None:
-            href = href.strip()
-            if not href.startswith("#") and not href.lower().startswith(NOT_PAGES):
-                self.link = {"target": urljoin(self.base, href), "anchor": [], "rel": given.get("rel", ""), "location": self.place()}
+def opened(events: list[Event], *tags: str) -> Iterator[Event]:
+    return (e for e in events if e.kind == "open" and e.value in tags)
 
-    def on_img(self, given: dict) -> None:
-        if self.link is not None and given.get("alt"):
-            self.link["anchor"].append(given["alt"])
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "script" and self.data is not None:
-            self.blocks.append("".join(self.data).strip())
-            self.data = None
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        if tag == "title":
-            self.state["title"] = False
-        elif tag == "h1" and self.state["h1"]:
-            self.state["h1"], self.h1_closed = False, True
-        elif tag == "a" and self.link is not None:
-            self.links.append(self.link | {"anchor": squeezed(self.link["anchor"])})
-            self.link = None
-        if tag in self.open:
-            while self.open.pop() != tag:
-                pass
+def last(values: Iterator[str]) -> str:
+    return next(iter(deque(values, maxlen=1)), "")
 
-    def handle_data(self, data: str) -> None:
-        if self.data is not None:
-            self.data.append(data)
-        elif self.state["title"]:
-            self.title.append(data)
-        else:
-            if self.state["h1"]:
-                self.h1.append(data)
-            if self.link is not None:
-                self.link["anchor"].append(data)
-            text = " ".join(data.split())
-            if text and not self.hidden:
-                self.visible.append(text)
-                if self.place() == "content":
-                    self.content.append(text)
+
+def title_of(events: list[Event]) -> str:
+    return squeezed([e.value for e in events if e.kind == "title"])
+
+
+def heading_of(events: list[Event]) -> str:
+    """Text of the first h1, up to its end or, if it never closes, the page's."""
+    start = next((k for k, e in enumerate(events) if e.kind == "open" and e.value == "h1"), len(events))
+    end = next((k for k in range(start, len(events)) if events[k].kind == "close" and events[k].value == "h1"), len(events))
+    return squeezed([e.value for e in events[start:end] if e.kind == "body"])
+
+
+def texts_of(events: list[Event]) -> tuple[str, str]:
+    """All visible text, and what of it is neither navigation nor footer."""
+    seen = [(e.place, " ".join(e.value.split())) for e in events if e.kind == "body" and e.shown]
+    return " ".join(t for _, t in seen if t), " ".join(t for place, t in seen if t and place == "content")
+
+
+def blocks_of(events: list[Event]) -> list[str]:
+    """The contents of JSON-LD scripts that close."""
+    out, held = [], None
+    for e in events:
+        if is_data(e):
+            held = []
+        elif held is not None and e.kind == "data":
+            held.append(e.value)
+        elif held is not None and (e.kind, e.value) == ("close", "script"):
+            out.append("".join(held).strip())
+            held = None
+    return out
+
+
+def links_of(events: list[Event], base: str) -> list[dict]:
+    """Anchors with an address of a page, from where they open to the next closing tag; anchors inside are part of their text."""
+    out, here, words = [], None, []
+    for e in events:
+        if here is None:
+            href = e.given.get("href", "").strip() if (e.kind, e.value) == ("open", "a") else ""
+            if e.given.get("href") and not href.startswith("#") and not href.lower().startswith(NOT_PAGES) and e.value == "a":
+                here, words = {"target": urljoin(base, href), "rel": e.given.get("rel", ""), "location": e.place}, []
+        elif e.kind == "body":
+            words.append(e.value)
+        elif (e.kind, e.value) == ("open", "img"):
+            words.append(e.given.get("alt", ""))
+        elif (e.kind, e.value) == ("close", "a"):
+            out.append(here | {"anchor": squeezed(words)})
+            here = None
+    return out
 
 
 def schema_types(node: object) -> list[str]:
@@ -172,15 +197,24 @@ def block_facts(at: int, raw: str) -> dict:
 
 
 def page_facts(html: str | None, base: str | None) -> dict:
-    page, warning = Page(base or ""), None
+    """A page's facts. Of several canonical links or robots tags the last counts; the language is that of an outermost html."""
+    base, page, warning = base or "", Events(), None
     try:
         page.feed(html or "")
     except Exception as e:  # noqa: BLE001  whatever the markup does, what was read so far counts
         warning = str(e)
+    events = page.events
+    visible, content = texts_of(events)
+    try:
+        links = links_of(events, base)
+        canonical = last(urljoin(base, e.given["href"]) for e in opened(events, "link") if e.given.get("href") and "canonical" in e.given.get("rel", "").lower().split())
+    except ValueError as e:  # an address that cannot be joined
+        links, canonical, warning = [], "", warning or str(e)
     return {
-        "title": squeezed(page.title), "h1": squeezed(page.h1), "visible_text": " ".join(page.visible), "content_text": " ".join(page.content),
-        "canonical": page.canonical, "robots": page.robots, "lang": page.lang, "warning": warning, "links": page.links,
-        "blocks": [block_facts(k, raw) for k, raw in enumerate(page.blocks)],
+        "title": title_of(events), "h1": heading_of(events), "visible_text": visible, "content_text": content, "canonical": canonical,
+        "robots": last(e.given.get("content", "") for e in opened(events, "meta") if e.given.get("name", "").lower() == "robots"),
+        "lang": last(e.given.get("lang", "").strip() for e in opened(events, "html") if e.top), "warning": warning, "links": links,
+        "blocks": [block_facts(k, raw) for k, raw in enumerate(blocks_of(events))],
     }
 
 

@@ -36,8 +36,8 @@ def link_findings(links: DataFrame, analyses: DataFrame) -> DataFrame:
         finding(generic, "generic_anchor", "low", "confirmed", **ends, evidence=F.when(anchor == "", F.lit("(empty)")).otherwise(anchor)),
         finding(met.where("status >= 400"), "broken_internal_link", "high", "confirmed", **ends, evidence=F.concat(F.lit("cached status="), status)),
         finding(met.where(moved), "link_to_redirect", "medium", "confirmed", **ends, evidence=F.concat(F.lit("cached status="), status, F.lit("; final_url="), F.col("final_url"))),
-        finding(met.where(f"status = 0 and not ({moved})"), "link_target_unverified", "info", "withheld", **ends, evidence=F.lit("target exists in the cache, but no HTTP status was supplied")),
-        finding(met.where("noindex"), "link_to_noindex", "medium", "confirmed", **ends, evidence=F.lit("target meta robots contains noindex")),
+        finding(met.where(f"status = 0 and not ({moved})"), "link_target_unverified", "info", "withheld", **ends, evidence=F.lit("saved target has no status")),
+        finding(met.where("noindex"), "link_to_noindex", "medium", "confirmed", **ends, evidence=F.lit("robots of target: noindex")),
         finding(met.where((F.col("canonical") != "") & (bare(F.col("canonical")) != bare(F.col("target")))), "link_to_noncanonical", "medium", "confirmed", **ends, evidence=F.concat(F.lit("canonical="), F.col("canonical"))),
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -65,12 +65,12 @@ def topology_findings(analyses: DataFrame, counts: DataFrame, depth: DataFrame,
     page = analyses.where((F.col("status") == 200) & F.col("html_available") & ~F.col("noindex") & (F.col("url") != home)).select("url")
     lonely = page.join(counts.where("inbound_total > 0").select("url"), "url", "left_anti")
     if not complete:
-        return finding(lonely, "zero_inbound_partial", "info", "withheld", url=F.col("url"), evidence=F.lit("zero observed inbound links, but graph coverage is incomplete"))
+        return finding(lonely, "zero_inbound_partial", "info", "withheld", url=F.col("url"), evidence=F.lit("no link seen so far; pages are missing"))
     far = page.join(depth, "url", "left")
     parts = [
-        finding(lonely, "orphan_candidate", "high", "candidate", url=F.col("url"), evidence=F.lit("zero observed inbound links in complete graph")),
-        finding(far.where("depth is null"), "unreachable_from_home_candidate", "medium", "candidate", url=F.col("url"), evidence=F.lit("not reachable from homepage in complete parsed graph")),
-        finding(far.where(f"depth > {C.DEEP}"), "deep_page_candidate", "medium", "candidate", url=F.col("url"), evidence=F.concat(F.lit("click depth="), F.col("depth"))),
+        finding(lonely, "orphan_candidate", "high", "candidate", url=F.col("url"), evidence=F.lit("no page links here")),
+        finding(far.where("depth is null"), "unreachable_from_home_candidate", "medium", "candidate", url=F.col("url"), evidence=F.lit("no path of links from the start page")),
+        finding(far.where(f"depth > {C.DEEP}"), "deep_page_candidate", "medium", "candidate", url=F.col("url"), evidence=F.concat(F.lit("clicks from the start page="), F.col("depth"))),
     ]
     return reduce(DataFrame.unionByName, parts)
 

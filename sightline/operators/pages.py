@@ -75,8 +75,8 @@ def parse_findings(analyses: DataFrame, config: SiteConfig) -> DataFrame:
     parts = [
         finding(analyses.where("warning is not null"), "html_parse_warning", "low", "confirmed", url=url, evidence=F.col("warning")),
         finding(block.where("b.error is not null"), "schema_parse_error", "high", "confirmed", url=url, evidence=F.col("b.error")),
-        finding(ok.where("b.is_object and not b.has_context"), "schema_context_candidate", "medium", "candidate", url=url, evidence=F.concat(at, F.lit(" has no root @context"))),
-        finding(ok.where("size(b.types) = 0"), "schema_missing_type", "medium", "confirmed", url=url, evidence=F.concat(at, F.lit(" has no @type"))),
+        finding(ok.where("b.is_object and not b.has_context"), "schema_context_candidate", "medium", "candidate", url=url, evidence=F.concat(at, F.lit(" lacks @context at its root"))),
+        finding(ok.where("size(b.types) = 0"), "schema_missing_type", "medium", "confirmed", url=url, evidence=F.concat(at, F.lit(" lacks @type"))),
         finding(ok.select("url", F.explode("b.relative").alias("r")), "schema_relative_url_candidate", "low", "candidate", url=url, evidence=F.col("r")),
         finding(differing, "schema_visible_mismatch_candidate", "medium", "candidate", url=url, evidence=F.concat(F.lit("schema="), F.col("b.headline"), F.lit(" | visible="), F.col("shown"))),
     ]

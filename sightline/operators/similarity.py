@@ -18,7 +18,7 @@ def exact_groups(hashed: DataFrame) -> DataFrame:
 
 
 def exact_findings(analyses: DataFrame) -> DataFrame:
-    evidence = F.concat(F.lit("same normalized content sha256="), F.substring("text_hash", 1, 16))
+    evidence = F.concat(F.lit("equal text, sha256="), F.substring("text_hash", 1, 16))
     return finding(exact_groups(exact_hash(analyses)), "exact_duplicate_candidate", "high", "candidate", urls=F.col("urls"), evidence=evidence)
 
 
@@ -53,7 +53,7 @@ def near_pairs(signed: DataFrame, key: str, threshold: float, within: list[str],
 def near_findings(analyses: DataFrame, config: SiteConfig) -> DataFrame:
     page = analyses.where("status = 200 and not noindex").select("url", "lane", T.language_lane(F.col("url"), F.col("lang")).alias("language"), "tokens", T.text_hash(F.col("tokens")).alias("text_hash"))
     pairs = near_pairs(signatures(page), "url", config.near_duplicate, ["lane", "language"], config.max_pairs)
-    evidence = F.concat(F.lit("MinHash similarity="), F.format_string("%.3f", "similarity"), F.lit("; requires content/mechanism review"))
+    evidence = F.concat(F.lit("MinHash similarity="), F.format_string("%.3f", "similarity"), F.lit("; read both before acting"))
     return finding(pairs, "near_duplicate_candidate", "medium", "candidate", source=F.col("left"), target=F.col("right"), evidence=evidence)
 
 
@@ -91,6 +91,6 @@ def overlap_findings(known: DataFrame, analyses: DataFrame, config: SiteConfig)
     pairs = overlap_pairs(signals, "url", config.overlap, ["lane", "language"], config.max_pairs)
     evidence = F.concat(
         F.lit("title/H1/query token Jaccard="), F.format_string("%.3f", "similarity"), F.lit("; shared="),
-        F.array_join(F.slice("shared", 1, 12), ", "), F.lit("; finalized search-performance confirmation required"),
+        F.array_join(F.slice("shared", 1, 12), ", "), F.lit("; compare search figures before acting"),
     )
     return finding(pairs, "cannibalization_candidate", "medium", "candidate", source=F.col("left"), target=F.col("right"), evidence=evidence)
