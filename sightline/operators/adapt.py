@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline import config as C
@@ -53,7 +53,9 @@ TEXTS = (*TEXT_ALIASES, "finalUrl")
 def distinct_rows(rows: DataFrame) -> DataFrame:
     """One of each set of equal rows of a file, the first."""
     fingerprint = F.sha2(F.to_json(F.array_sort(F.map_entries("raw"))), 256)
-    return rows.withColumn("_fp", fingerprint).groupBy("src_ord", "_fp").agg(F.min_by("keyed", "row_ord").alias("keyed"), F.min("row_ord").alias("row_ord")).drop("_fp")
+    first = Window.partitionBy("src_ord", "_fp").orderBy("row_ord")
+    found = rows.select("src_ord", "keyed", "row_ord", fingerprint.alias("_fp")).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return found.drop("_fp", "_n")
 
 
 def _address(kind: str, m: Column) -> tuple[Column, Column]:

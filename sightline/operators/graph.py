@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline import config as C
@@ -16,9 +16,10 @@ from sightline.operators.pages import finding
 
 def counters(links: DataFrame) -> DataFrame:
     """url, inbound_total, inbound_content, outbound_total; repeats, own links, navigation and footers count."""
-    inbound = links.select(F.col("target").alias("url"), F.lit(1).alias("i"), (F.col("location") == "content").cast("int").alias("c"), F.lit(0).alias("o"))
-    outbound = links.select(F.col("source").alias("url"), F.lit(0).alias("i"), F.lit(0).alias("c"), F.lit(1).alias("o"))
-    both = inbound.unionByName(outbound)
+    count = lambda url, i, c, o: F.struct(url.alias("url"), F.lit(i).alias("i"), c.alias("c"), F.lit(o).alias("o"))
+    # One pass over the links: each counts for its target and for its source.
+    ends = F.array(count(F.col("target"), 1, (F.col("location") == "content").cast("int"), 0), count(F.col("source"), 0, F.lit(0), 1))
+    both = links.select(F.explode(ends).alias("e")).select("e.*")
     return both.groupBy("url").agg(F.sum("i").alias("inbound_total"), F.sum("c").alias("inbound_content"), F.sum("o").alias("outbound_total"))
 
 
@@ -26,30 +27,40 @@ def link_findings(links: DataFrame, analyses: DataFrame) -> DataFrame:
     """Generic anchors, and what is known about each link's target."""
     anchor = F.trim(F.regexp_replace(F.lower(F.coalesce("anchor", F.lit(""))), r"\s+", " "))
     generic = links.where(T.is_generic_anchor(F.col("anchor")))
-    target = analyses.select(F.col("url").alias("target"), "status", "identity_redirect", "final_url", "noindex", "canonical")
-    met = links.select("source", "target").join(target, "target")
+    ends = {"source": F.col("source"), "target": F.col("target")}
+    told = finding(generic, "generic_anchor", "low", "confirmed", **ends, evidence=F.when(anchor == "", F.lit("(empty)")).otherwise(anchor))
+    faulty = analyses.select(F.col("url").alias("target"), F.explode(target_faults()).alias("f"))
+    # Only links to pages with a fault meet them; a page that all others link to seldom has one.
+    met = links.select("source", "target").join(faulty, "target")
+    return told.unionByName(finding(met, F.col("f.type"), F.col("f.severity"), F.col("f.status"), **ends, evidence=F.col("f.evidence")))
+
+
+def target_faults() -> Column:
+    """What is wrong with a page as the target of a link, as an array of type, severity, status, evidence."""
     status = F.col("status").cast("string")
     bare = lambda c: F.regexp_replace(c, "/+$", "")
-    ends = {"source": F.col("source"), "target": F.col("target")}
-    moved = "status < 400 and (identity_redirect or (status >= 300 and status < 400))"
-    parts = [
-        finding(generic, "generic_anchor", "low", "confirmed", **ends, evidence=F.when(anchor == "", F.lit("(empty)")).otherwise(anchor)),
-        finding(met.where("status >= 400"), "broken_internal_link", "high", "confirmed", **ends, evidence=F.concat(F.lit("cached status="), status)),
-        finding(met.where(moved), "link_to_redirect", "medium", "confirmed", **ends, evidence=F.concat(F.lit("cached status="), status, F.lit("; final_url="), F.col("final_url"))),
-        finding(met.where(f"status = 0 and not ({moved})"), "link_target_unverified", "info", "withheld", **ends, evidence=F.lit("saved target has no status")),
-        finding(met.where("noindex"), "link_to_noindex", "medium", "confirmed", **ends, evidence=F.lit("robots of target: noindex")),
-        finding(met.where((F.col("canonical") != "") & (bare(F.col("canonical")) != bare(F.col("target")))), "link_to_noncanonical", "medium", "confirmed", **ends, evidence=F.concat(F.lit("canonical="), F.col("canonical"))),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    moved = F.expr("status < 400 and (identity_redirect or (status >= 300 and status < 400))")
+    elsewhere = (F.col("canonical") != "") & (bare(F.col("canonical")) != bare(F.col("url")))
+    rules = (
+        ("broken_internal_link", "high", "confirmed", F.col("status") >= 400, F.concat(F.lit("cached status="), status)),
+        ("link_to_redirect", "medium", "confirmed", moved, F.concat(F.lit("cached status="), status, F.lit("; final_url="), F.col("final_url"))),
+        ("link_target_unverified", "info", "withheld", (F.col("status") == 0) & ~moved, F.lit("saved target has no status")),
+        ("link_to_noindex", "medium", "confirmed", F.col("noindex"), F.lit("robots of target: noindex")),
+        ("link_to_noncanonical", "medium", "confirmed", elsewhere, F.concat(F.lit("canonical="), F.col("canonical"))),
+    )
+    fault = lambda kind, severity, status, evidence: F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.lit(status).alias("status"), evidence.alias("evidence"))
+    return F.array_compact(F.array(*[F.when(holds, fault(kind, severity, state, evidence)) for kind, severity, state, holds, evidence in rules]))
 
 
 def depths(edges: DataFrame, nodes: DataFrame, start: DataFrame, most: int = 10_000) -> DataFrame:
     """url, depth: fewest hops from ``start`` (url) over distinct edges (source, target) into ``nodes`` (url).
 
-    A level a round: the frontier meets the edges and leaves what was seen. The
-    rows written each round are the new level's, so a round costs its frontier.
+    A level a round: the frontier meets the edges and leaves what was seen. Edges are
+    dealt by source once and written so; a round reads them and the addresses seen so
+    far, shuffles what its frontier reaches, and writes the new level. More rounds
+    than ``most`` raise instead of giving a part of the depths.
     """
-    ways = cut(edges.select("source", "target").join(nodes.select(F.col("url").alias("target")), "target", "left_semi").distinct())
+    ways = cut(edges.select("source", "target").join(nodes.select(F.col("url").alias("target")), "target", "left_semi").distinct().repartition("source"))
     seen = level = cut(start.select("url").distinct().select("url", F.lit(0).alias("depth")))
     for hop in range(1, most + 1):
         reached = ways.join(level.select(F.col("url").alias("source")), "source").select(F.col("target").alias("url")).distinct()
@@ -57,7 +68,9 @@ def depths(edges: DataFrame, nodes: DataFrame, start: DataFrame, most: int = 10_
         if level.isEmpty():
             return seen
         seen = seen.unionByName(level)
-    return seen
+        if hop % 16 == 0:
+            seen = cut(seen)  # one table again
+    raise ValueError(f"the graph is deeper than {most} hops")
 
 
 def topology_findings(analyses: DataFrame, counts: DataFrame, depth: DataFrame, home: str, complete: bool) -> DataFrame:
@@ -87,17 +100,38 @@ def opportunities(known: DataFrame, analyses: DataFrame, counts: DataFrame, link
     spoken = F.concat_ws(" ", "title", "h1", "top_queries")
     page = page.withColumn("tokens", T.signal_set(T.tokenize(spoken), config.brand_terms)).join(counts.select("url", "inbound_content"), "url", "left").na.fill(0, ["inbound_content"])
     page = page.select("url", "lane", "language", F.col("latest_impressions").alias("shown"), "k_cluster", "inbound_content", "tokens", F.size("tokens").alias("n"))
+    page = cut(page)
     target = page.where("shown > 0 and inbound_content <= 1 and n >= 2")
+    first = [F.col("shown").desc(), F.col("inbound_content"), F.col("url")]
+    linked, total, most = cut(links.select("source", "target").distinct()), target.count(), config.max_opportunities
+    # Results are ordered by target, so targets are tried in that order, in growing batches, until enough have sources.
+    batch = 8 * most
+    while True:
+        top = _with_sources(target.orderBy(*first).limit(batch), page, linked).orderBy(F.col("t_shown").desc(), "t_in", "target").limit(most)
+        if batch >= total:
+            break
+        top = cut(top)
+        if top.count() >= most:
+            break
+        batch *= 8
+    evidence = F.concat(F.lit("latest impressions="), F.format_string("%.0f", "t_shown"), F.lit("; contextual inbound="), F.col("t_in"), F.lit("; topical source candidates="), F.col("n"))
+    return finding(top, "internal_link_opportunity", "medium", "candidate", target=F.col("target"), sources=F.col("sources"), evidence=evidence)
+
+
+def _with_sources(target: DataFrame, page: DataFrame, linked: DataFrame) -> DataFrame:
+    """target, t_shown, t_in, sources (the best) and n (all) of the targets that a page on their topic does not link to yet."""
     t = target.select(F.col("url").alias("target"), "lane", "language", F.col("shown").alias("t_shown"), F.col("inbound_content").alias("t_in"), F.col("k_cluster").alias("t_cluster"), F.col("n").alias("t_n"), F.explode("tokens").alias("token"))
     s = page.select(F.col("url").alias("source"), "lane", "language", F.col("shown").alias("s_shown"), F.col("k_cluster").alias("s_cluster"), F.col("n").alias("s_n"), F.explode("tokens").alias("token"))
     pairs = t.join(s, ["lane", "language", "token"]).where("source <> target and (t_cluster = '' or s_cluster = '' or t_cluster = s_cluster)")
     shared = pairs.groupBy("target", "source").agg(F.count(F.lit(1)).alias("both"), *[F.first(c).alias(c) for c in ("t_shown", "t_in", "t_n", "s_shown", "s_n")])
-    fresh = shared.join(links.select("source", "target").distinct(), ["source", "target"], "left_anti")
-    best = Window.partitionBy("target").orderBy(F.col("overlap").desc(), F.col("s_shown").desc(), F.col("source").desc())
-    ranked = fresh.withColumn("overlap", F.col("both") / (F.col("t_n") + F.col("s_n") - F.col("both"))).withColumn("k", F.row_number().over(best))
-    found = ranked.groupBy("target", "t_shown", "t_in").agg(
+    fresh = shared.join(linked, ["source", "target"], "left_anti")
+    ranked = best_sources(fresh.withColumn("overlap", F.col("both") / (F.col("t_n") + F.col("s_n") - F.col("both"))), "target", "overlap", "s_shown", "source")
+    return ranked.groupBy("target", "t_shown", "t_in").agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= C.BEST_SOURCES, F.struct("k", "source")))), lambda x: x["source"]).alias("sources"), F.count(F.lit(1)).alias("n"),
     )
-    top = found.orderBy(F.col("t_shown").desc(), "t_in", "target").limit(config.max_opportunities)
-    evidence = F.concat(F.lit("latest impressions="), F.format_string("%.0f", "t_shown"), F.lit("; contextual inbound="), F.col("t_in"), F.lit("; topical source candidates="), F.col("n"))
-    return finding(top, "internal_link_opportunity", "medium", "candidate", target=F.col("target"), sources=F.col("sources"), evidence=evidence)
+
+
+def best_sources(rows: DataFrame, target: str, *descending: str) -> DataFrame:
+    """``rows`` with k, each row's place among those of its target."""
+    order = Window.partitionBy(target).orderBy(*[F.col(c).desc() for c in descending])
+    return rows.withColumn("k", F.row_number().over(order))

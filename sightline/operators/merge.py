@@ -81,17 +81,16 @@ def conservative_snapshot(snapshots: DataFrame) -> DataFrame:
     """One snapshot for each URL (url, source_id, snapshot), taken whole, with what disagreed."""
     s = F.col("snapshot")
     print_of = F.sha2(F.to_json(F.struct("url", "snapshot")), 256)
-    # Counted before the pages are compared, so that only keys meet in the count.
     keyed = snapshots.withColumn("_fp", print_of)
-    order = F.struct(tier(s).alias("t"), s["status"].alias("s"), T.text_of(s["final_url"]).alias("f"), F.col("_fp"))
+    order = F.struct(tier(s).alias("t"), s["status"].alias("s"), T.text_of(s["final_url"]).alias("f"), F.col("_fp"), "src_ord", "row_ord")
+    # Chosen and counted on keys; the pages themselves are dealt once, to meet the choice.
     best = keyed.groupBy("url").agg(
-        F.min_by(F.struct("snapshot", "source_id"), F.struct(order, "src_ord", "row_ord")).alias("b"),
-        (F.count_distinct("_fp") > 1).alias("conflicting_snapshots"), F.count(F.lit(1)).cast("int").alias("candidate_count"),
+        F.min(order).alias("b"), (F.count_distinct("_fp") > 1).alias("conflicting_snapshots"), F.count(F.lit(1)).cast("int").alias("candidate_count"),
         F.array_sort(F.collect_set("source_id")).alias("observed_source_ids"),
     )
-    return best.select(
-        "url", F.col("b.snapshot.status").alias("status"), F.col("b.snapshot.final_url").alias("final_url"), F.col("b.snapshot.html").alias("html"),
-        F.col("b.snapshot.html_complete").alias("html_complete"), F.col("b.source_id").alias("selected_source_id"),
+    best = best.select("url", F.col("b.src_ord").alias("src_ord"), F.col("b.row_ord").alias("row_ord"), "conflicting_snapshots", "candidate_count", "observed_source_ids")
+    return snapshots.join(best, ["url", "src_ord", "row_ord"]).select(
+        "url", "snapshot.status", "snapshot.final_url", "snapshot.html", "snapshot.html_complete", F.col("source_id").alias("selected_source_id"),
         "observed_source_ids", F.col("observed_source_ids").alias("source_ids"), "candidate_count", "conflicting_snapshots",
     )
 
@@ -124,3 +123,9 @@ def known_identities(rows: DataFrame) -> DataFrame:
     )
     lane = T.infer_lane(F.col("url"), F.col("_first.lane"), F.col("_first.post_type"))
     return merged.withColumn("lane", lane).drop("_first")
+
+
+def last_snapshots(rows: DataFrame) -> DataFrame:
+    """Of snapshots (url, row_ord, s) with one URL the one that came last, as columns."""
+    newest = Window.partitionBy("url").orderBy(F.col("row_ord").desc())
+    return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select("url", "s.*")

@@ -9,34 +9,35 @@ from sightline import config as C
 from sightline.config import SiteConfig
 from sightline.functions import text as T
 from sightline.functions import urls as U
-from sightline.functions.html import PAGE, parse_page
+from sightline.functions.html import parse_page
 
 FINDING = "type string, severity string, status string, url string, source string, target string, urls array<string>, sources array<string>, evidence string"
 _FIELDS = ("url", "source", "target", "urls", "sources", "evidence")
 
 
-def finding(rows: DataFrame, kind: str, severity: str, status: str, **fields: Column) -> DataFrame:
+def finding(rows: DataFrame, kind: str | Column, severity: str | Column, status: str | Column, **fields: Column) -> DataFrame:
     """Rows of the common findings schema."""
+    named = lambda v, name: (F.lit(v) if isinstance(v, str) else v).alias(name)
     lists = ("urls", "sources")
     given = [fields.get(c, F.lit(None)).cast("array<string>" if c in lists else "string").alias(c) for c in _FIELDS]
-    return rows.select(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.lit(status).alias("status"), *given)
+    return rows.select(named(kind, "type"), named(severity, "severity"), named(status, "status"), *given)
 
 
 def analyse(cache: DataFrame, known: DataFrame, config: SiteConfig) -> DataFrame:
     """One row for each cached URL; only usable HTML is parsed, and the parsed struct is null otherwise."""
     site = F.lit(config.site)
-    record = known.select("url", *[F.col(c).alias(f"k_{c}") for c in ("title", "h1", "lane", "cluster", "post_type", "inventory_word_count", "latest_impressions", "top_queries")])
-    page = cache.join(record, "url", "left")
+    page = cache
     ended = F.when(F.coalesce(F.col("final_url"), F.lit("")) == "", F.col("url")).otherwise(F.col("final_url"))
     page = page.withColumn("final_url", ended).withColumn("identity_redirect", F.coalesce(U.normalize(F.col("final_url"), site) != F.col("url"), F.lit(True)))
     html = F.coalesce(F.col("html"), F.lit(""))
     usable = (html != "") & F.col("html_complete") & (F.col("status") >= 200) & (F.col("status") < 300) & T.same_origin(F.col("final_url"), site) & ~F.col("identity_redirect") & ~F.col("truncated") & ~F.col("conflicting_snapshots")
     page = page.withColumn("html_available", F.coalesce(usable, F.lit(False))).withColumn("html_present", html != "")
     page = page.withColumn("same_origin_identity_redirect", F.col("identity_redirect") & T.same_origin(F.col("final_url"), site))
-    # Python sees usable pages only: a UDF under CASE would run on every row.
-    bare = page.where("not html_available").withColumn("p", F.lit(None).cast(PAGE))
-    read = page.where("html_available").withColumn("p", parse_page("html", "final_url"))
-    page = read.unionByName(bare).drop("html")
+    # Parsed in one pass, in which unusable pages are empty; the markup goes no further, and only facts meet what is known.
+    parsed = parse_page(F.when(F.col("html_available"), F.col("html")), "final_url")
+    page = page.withColumn("p", parsed).drop("html").withColumn("p", F.when(F.col("html_available"), F.col("p")))
+    record = known.select("url", *[F.col(c).alias(f"k_{c}") for c in ("title", "h1", "lane", "cluster", "post_type", "inventory_word_count")])
+    page = page.join(record, "url", "left")
     full = lambda a, b: F.when(F.coalesce(a, F.lit("")) != "", a).otherwise(F.coalesce(b, F.lit("")))
     canonical = F.when(F.coalesce(F.col("p.canonical"), F.lit("")) != "", U.normalize(F.col("p.canonical"), site)).otherwise(F.lit(""))
     spoken = full(F.col("p.content_text"), F.col("p.visible_text"))
@@ -97,7 +98,9 @@ def discovered(known: DataFrame, analyses: DataFrame, links: DataFrame, site: st
     told = told.unionByName(analyses.where("identity_redirect").select(F.col("final_url").alias("url"), F.lit("redirect_final_url").alias("kind")))
     told = told.unionByName(analyses.where("canonical <> ''").select(F.col("canonical").alias("url"), F.lit("canonical").alias("kind")))
     ours = told.where(T.same_origin(F.col("url"), F.lit(site)) & T.is_page_like(F.col("url")))
-    return ours.join(known.select("url"), "url", "left_anti").groupBy("url").agg(F.array_sort(F.collect_set("kind")).alias("evidence"))
+    # A row for each address before known ones are sought, not one for each link.
+    each = ours.groupBy("url").agg(F.array_sort(F.collect_set("kind")).alias("evidence"))
+    return each.join(known.select("url"), "url", "left_anti")
 
 
 def sample_of(rows: DataFrame, n: int = 5) -> str:

@@ -70,7 +70,7 @@ def page_cache(spark: SparkSession, path: str, site: str) -> DataFrame:
         F.coalesce(exact(raw, *C.HTML_FIELDS), F.lit("")).alias("html"), F.when(told.isNotNull(), T.boolish(told)).otherwise(default).alias("html_complete"),
         T.boolish(raw["truncated"]).alias("truncated"), T.boolish(raw["conflicting_snapshots"]).alias("conflicting_snapshots"),
     )
-    return read.select("url", "row_ord", snapshot.alias("s")).groupBy("url").agg(F.max_by("s", "row_ord").alias("s")).select("url", "s.*")
+    return merge.last_snapshots(read.select("url", "row_ord", snapshot.alias("s")))
 
 
 def audit(spark: SparkSession, config: SiteConfig, inventories: list[str], sitemaps: list[str] = (), cache_path: str | None = None, manifest_path: str | None = None) -> Audit:
