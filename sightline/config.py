@@ -66,7 +66,8 @@ class SiteConfig:
     brand_terms: tuple[str, ...] = ()
     near_duplicate: float = NEAR_DUPLICATE
     overlap: float = OVERLAP
-    max_pairs: int = MAX_PAIRS
+    #: None: all pairs.
+    max_pairs: int | None = MAX_PAIRS
     max_opportunities: int = MAX_OPPORTUNITIES
     complete_threshold: float = field(default=1.0)
 

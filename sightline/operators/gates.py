@@ -66,6 +66,32 @@ def decide(row: DataFrame) -> DataFrame:
     )
 
 
+BOUNDARY = "A reading of saved evidence. READY_FOR_HUMAN_REVIEW lets nobody change a live site; a person decides."
+
+
+def contract(row: dict, hashes: dict) -> dict:
+    """The decision as a document: both gates as stages, blockers, and what evidence it rests on."""
+    expected, observed = row["expected"], row["observed"]
+    return {
+        "schema_version": "1.0", "decision": row["decision"], "release_gate_passed": row["release_gate_passed"], "live_change_authorized": False,
+        "scope_assurance": row["scope_assurance"], "scope_warning": row["scope_warning"],
+        "stages": {
+            "source_universe": {
+                "passed": row["source_universe_complete"], "observed_normalized_identities": observed, "expected_normalized_identities": expected,
+                "expected_count_origin": row["expected_count_origin"], "identity_count_matches": None if expected is None else expected == observed,
+            },
+            "active_html": {
+                "passed": row["content_graph_complete"], "eligible_identities": row["graph_eligible_urls"], "full_html_identities": row["html_pages"],
+                "confirmed_terminal_identities": row["resolved_non_graph_urls"], "coverage": row["html_coverage"], "required_coverage": 1.0,
+                "homepage_parsed": row["homepage_parsed"], "unresolved_sitemaps": row["unresolved_sitemaps"],
+            },
+            "final": {"passed": row["release_gate_passed"]},
+        },
+        "unclassified_count": row["unclassified_count"], "blocker_codes": list(row["blocker_codes"]), "evidence_hashes": {"algorithm": "sha256"} | hashes,
+        "decision_boundary": f"{row['scope_warning']} {BOUNDARY}",
+    }
+
+
 def observed_identities(inventory: DataFrame, sitemap: DataFrame) -> int:
     """Distinct page-like URLs of inventories and sitemaps."""
     return inventory.select("url").union(sitemap.select("url")).where(T.is_page_like(F.col("url"))).distinct().count()

@@ -73,6 +73,11 @@ def depths(edges: DataFrame, nodes: DataFrame, start: DataFrame, most: int = 10_
     raise ValueError(f"the graph is deeper than {most} hops")
 
 
+def crawl_seeds(known: DataFrame, home: str, most: int) -> DataFrame:
+    """Where a crawl would begin: the start page, then addresses in order."""
+    return known.select("url").distinct().orderBy(F.col("url") != home, "url").limit(most)
+
+
 def topology_findings(analyses: DataFrame, counts: DataFrame, depth: DataFrame, home: str, complete: bool) -> DataFrame:
     """Orphans, unreachable and deep pages; with an incomplete graph only what is withheld."""
     page = analyses.where((F.col("status") == 200) & F.col("html_available") & ~F.col("noindex") & (F.col("url") != home)).select("url")

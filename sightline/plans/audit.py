@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,7 @@ from sightline.functions import urls as U
 from sightline.operators import gates, graph, merge, pages, similarity
 from sightline.operators.lineage import cut
 from sightline.sources import manifest, sinks
-from sightline.sources.exports import document_value, exact, inventory_rows, json_rows
+from sightline.sources.exports import document_value, exact, inventory_rows, is_table, json_rows, table_rows
 from sightline.sources.sitemaps import load_sitemaps
 
 KNOWN = "url, title, h1, cluster, post_type, top_queries, lane, latest_clicks, latest_impressions, since_work_clicks, since_work_impressions, inventory_word_count, inventory_link_count, in_sitemap, src_ord, row_ord"
@@ -34,6 +34,9 @@ class Audit:
     links: DataFrame
     decision: dict
     universe: manifest.Universe
+    contract: dict
+    schema_types: DataFrame
+    inputs: dict = field(default_factory=dict)
 
 
 def inventory_records(rows: DataFrame, site: str, src_ord: int) -> DataFrame:
@@ -58,9 +61,15 @@ def bare_records(urls: DataFrame, src_ord: int, in_sitemap: bool = False) -> Dat
 
 
 def page_cache(spark: SparkSession, path: str, site: str) -> DataFrame:
-    """Snapshots of a saved cache, one a URL: of rows with the same URL the last."""
-    rows = json_rows(spark, path, ("pages", "rows"), lone=False)
-    default = T.boolish(F.lit(document_value(spark, path, "html_complete")))
+    """Snapshots of a saved cache, one a URL: of rows with the same URL the last.
+
+    A cache is one JSON document, or at any size a table of rows: JSON lines or Parquet, as the writer makes them.
+    """
+    if is_table(spark, path):
+        rows, default = table_rows(spark, path), F.lit(False)
+    else:
+        rows = json_rows(spark, path, ("pages", "rows"), lone=False)
+        default = T.boolish(F.lit(document_value(spark, path, "html_complete")))
     raw = F.col("raw")
     told = exact(raw, *C.HTML_COMPLETE_FIELDS)
     read = rows.withColumn("url", U.normalize(exact(raw, *C.URL_FIELDS), site))
@@ -89,10 +98,17 @@ def audit(spark: SparkSession, config: SiteConfig, inventories: list[str], sitem
         universe = manifest.bind(body, site, hashes["inventories"], hashes["page_cache"], hashes["sitemaps"], observed)
     else:
         universe = manifest.Universe(observed=observed)
-    return run(spark, config, from_inventories.unionByName(listed), cache, universe, len(maps["unresolved"]))
+    hashes["source_manifest"] = universe.sha256
+    accepted = {r["src_ord"]: r["n"] for r in from_inventories.groupBy("src_ord").agg(F.count(F.lit(1)).alias("n")).collect()}
+    inputs = {
+        "inventories": [{"rows": inventory_rows(spark, p).count(), "accepted": accepted.get(k, 0)} for k, p in enumerate(inventories)],
+        "sitemaps_resolved": len(maps["resolved"]), "sitemaps_unresolved": len(maps["unresolved"]), "network_enabled": False,
+        "mode": "saved_html_cache" if cache_path else "local_coverage",
+    }
+    return run(spark, config, from_inventories.unionByName(listed), cache, universe, len(maps["unresolved"]), hashes, inputs)
 
 
-def run(spark: SparkSession, config: SiteConfig, records: DataFrame, cache: DataFrame | None, universe: manifest.Universe, unresolved: int = 0) -> Audit:
+def run(spark: SparkSession, config: SiteConfig, records: DataFrame, cache: DataFrame | None, universe: manifest.Universe, unresolved: int = 0, hashes: dict | None = None, inputs: dict | None = None) -> Audit:
     """The audit over DataFrames: records (KNOWN) and snapshots."""
     site = config.site
     if cache is None:
@@ -120,7 +136,33 @@ def run(spark: SparkSession, config: SiteConfig, records: DataFrame, cache: Data
     ]
     if complete:
         parts.append(graph.opportunities(known, analyses, counts, links, config))
-    return Audit(cut(reduce(DataFrame.unionByName, parts)), page_rows(known, analyses, counts, depth), links, decision, universe)
+    decision |= {"expected_count_origin": universe.origin}
+    types = pages.schema_types(analyses).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    found_all = cut(reduce(DataFrame.unionByName, parts))
+    return Audit(found_all, page_rows(known, analyses, counts, depth).orderBy("url"), links, decision, universe, gates.contract(decision, hashes or {}), types, inputs or {})
+
+
+def write_audit(spark: SparkSession, done: Audit, folder: str) -> dict:
+    """audit.json and decision.json, the three tables as CSV, the report and the dashboard; the audit document is returned.
+
+    Tables of any size are files of their own; the document has their counts only.
+    """
+    counted = lambda rows, c: {r[c]: r["n"] for r in rows.orderBy(c).collect()}
+    table = cut(done.pages)
+    document = {
+        "site": done.universe.site, "mode": done.inputs.get("mode"), "inputs": done.inputs, "coverage": {c: done.decision.get(c) for _, c in sinks.COVERAGE},
+        "scope_reasons": done.universe.reasons, "sources": [sinks.public_source(s) for s in done.universe.sources], "release_contract": done.contract,
+        "lane_counts": counted(sinks.lane_counts(table), "lane"), "schema_type_counts": counted(done.schema_types, "type"),
+        "finding_counts": counted(sinks.finding_counts(done.findings), "type"), "tables": ["pages.csv", "links.csv", "findings.csv"],
+    }
+    sinks.write_json(spark, f"{folder}/audit.json", document)
+    sinks.write_json(spark, f"{folder}/decision.json", done.contract)
+    sinks.write_csv(table.orderBy("url"), f"{folder}/pages.csv")
+    sinks.write_csv(done.links, f"{folder}/links.csv")
+    sinks.write_csv(done.findings, f"{folder}/findings.csv")
+    sinks.write_text(spark, f"{folder}/report.md", sinks.report(done.decision, done.findings))
+    sinks.write_text(spark, f"{folder}/dashboard.html", sinks.dashboard(sinks.public_payload(done.decision, done.findings, table, sources=done.universe.sources)))
+    return document
 
 
 def universe_row(spark: SparkSession, u: manifest.Universe) -> DataFrame:

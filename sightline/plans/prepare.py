@@ -12,7 +12,7 @@ from sightline.functions import urls as U
 from sightline.operators import merge
 from sightline.operators.adapt import adapt, distinct_rows
 from sightline.operators.lineage import cut
-from sightline.sources import exports
+from sightline.sources import exports, sinks
 from sightline.sources.sitemaps import inspect_sitemap
 
 KINDS = ("auto", "inventory", "gsc", "ga4", "wordpress", "crawler", "sitemap")  # fixed value
@@ -106,3 +106,29 @@ def prepare(
         row.pop("_ord", None)
     whole = bool(declare_complete and needed_rows and all(r["status"] == "collected" for r in needed_rows))
     return Prepared(records, cache, rows_out, whole)
+
+
+def write_prepared(spark: SparkSession, done: Prepared, site: str, folder: str, cache_form: str = "json", sitemaps: tuple[str, ...] = ()) -> dict:
+    """The inventory, the page cache, and the manifest that binds them by digest, as an audit reads them; the manifest is returned."""
+    paths = {"inventory": f"{folder}/inventory.csv", "page_cache": f"{folder}/page_cache.{'parquet' if cache_form == 'parquet' else 'jsonl'}"}
+    outputs: dict[str, object] = {}
+    records = 0
+    if done.records is not None:
+        sinks.write_csv(sinks.inventory(done.records), paths["inventory"])
+        records = done.records.count()
+        outputs["inventories"] = [{"path": "inventory.csv", "sha256": h, "records": records} for h in sinks.file_hashes(spark, paths["inventory"])]
+    if done.page_cache is not None:
+        sinks.write_page_cache(done.page_cache, paths["page_cache"], cache_form)
+        outputs["page_cache"] = [{"path": paths["page_cache"].rsplit("/", 1)[1], "sha256": h} for h in sinks.file_hashes(spark, paths["page_cache"])]
+        outputs["page_cache_records"] = done.page_cache.agg(
+            F.count(F.lit(1)).alias("records"), F.count("html").alias("html_records"), F.count_if("html_complete").alias("complete_html_records"), F.count_if("conflicting_snapshots").alias("conflicted_records")
+        ).first().asDict()
+    if sitemaps:
+        outputs["sitemaps"] = [{"path": p.rsplit("/", 1)[1], "sha256": h} for p in sitemaps for h in sinks.file_hashes(spark, p)]
+    manifest = {
+        "version": 1, "site": U.export_identity(site, site), "universe_complete": done.universe_complete, "normalized_unique_urls": records,
+        "expected_normalized_identities": records, "expected_count_origin": "AUTO_DERIVED_FROM_PREPARED_UNION", "sources": done.sources, "outputs": outputs,
+    }
+    sinks.write_json(spark, f"{folder}/source_manifest.json", manifest)
+    sinks.write_json(spark, f"{folder}/prepare_report.json", manifest | {"network_used": False, "source_count": len(done.sources), "required_source_count": sum(s["required"] for s in done.sources)})
+    return manifest

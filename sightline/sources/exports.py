@@ -51,7 +51,7 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     if not table.columns:
         return spark.createDataFrame([], RAW)
     pairs = lambda named: [x for k, c in named.items() for x in (F.lit(k), F.col(f"`{c}`").cast("string"))]
-    raw, keyed = {c: c for c in table.columns}, {key_name(c): c for c in table.columns}
+    raw, keyed = {c.lstrip("\ufeff"): c for c in table.columns}, {key_name(c): c for c in table.columns}
     return table.select(F.create_map(*pairs(raw)).alias("raw"), F.create_map(*pairs(keyed)).alias("keyed"), F.monotonically_increasing_id().alias("row_ord"))
 
 
@@ -91,6 +91,21 @@ def json_rows(spark: SparkSession, path: str, names: tuple[str, ...] = PREPARED_
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RAW)
 
 
+def is_table(spark: SparkSession, path: str) -> bool:
+    """Whether a path holds rows (JSON lines or Parquet, one file or a folder of parts) and not one JSON document."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.lower().endswith((".jsonl", ".ndjson", ".parquet")) or at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
+def table_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of JSON lines or Parquet in the form of a scan; splittable, so a cache of any size is many tasks' work."""
+    parts = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path").limit(1).count()
+    table = spark.read.parquet(path) if parts else spark.read.option("primitivesAsString", "true").json(path)
+    flat = [(c, F.col(f"`{c}`") if t in ("string", "int", "bigint", "double", "boolean") else F.to_json(f"`{c}`")) for c, t in table.dtypes]
+    pairs = lambda name: [x for c, v in {name(c): v for c, v in flat}.items() for x in (F.lit(c), v.cast("string"))]
+    return table.select(F.create_map(*pairs(str)).alias("raw"), F.create_map(*pairs(key_name)).alias("keyed"), F.monotonically_increasing_id().alias("row_ord"))
+
+
 def document_value(spark: SparkSession, path: str, name: str) -> str | None:
     """A value of a JSON document's own object, read where the file is."""
 

@@ -164,6 +164,51 @@ def test_prepare(spark, tmp_path):
     assert "one | two" in next((tmp_path / "inv").glob("*.csv")).read_text()
 
 
+@pytest.mark.parametrize("form", ["json", "parquet"])
+def test_prepare_to_audit(spark, tmp_path, form):
+    """Exports through both commands: the manifest binds what was written, the cache reads back, the gate passes, and a change breaks it."""
+    from sightline.__main__ import main
+
+    quoted = lambda t: '"' + t.replace('"', '""') + '"'
+    crawl = write(tmp_path / "c.csv", "Address,Status Code,Content Type,Rendered HTML,html_complete", *[f"{SITE[:-1]}{p},{s},text/html,{quoted(HTML.get(p, ''))},{'true' if p in HTML else ''}" for p, s in ROWS])
+    ns = "http://www.sitemaps.org/schemas/sitemap/0.9"
+    sitemap = tmp_path / "sitemap.xml"
+    sitemap.write_text(f"<urlset xmlns='{ns}'>" + "".join(f"<url><loc>{SITE[:-1]}{p}</loc></url>" for p, _ in ROWS) + "</urlset>")
+    out, told = str(tmp_path / "out"), str(tmp_path / "told")
+    common = ["--site", SITE, "--output"]
+    assert main(["prepare", *common, out, "--source", f"crawler={crawl}", "--source", f"sitemap={sitemap}", "--required", "crawler", "--required", "sitemap", "--declare-complete", "--cache-form", form], spark) == 0
+    assert next(Path(out, "inventory.csv").glob("part-*.csv")).read_bytes().startswith(b"\xef\xbb\xbfurl,")
+    cache = f"{out}/page_cache.{'parquet' if form == 'parquet' else 'jsonl'}"
+    check = ["audit", *common, told, "--inventory", f"{out}/inventory.csv", "--sitemap", str(sitemap), "--page-cache", cache, "--manifest", f"{out}/source_manifest.json", "--gate-exit-code"]
+    assert main(check, spark) == 0
+    audit_file, decision = (json.loads(Path(told, n).read_text()) for n in ("audit.json", "decision.json"))
+    assert decision == audit_file["release_contract"] and decision["decision"] == "READY_FOR_HUMAN_REVIEW" and decision["stages"]["active_html"]["full_html_identities"] == 10
+    assert decision["evidence_hashes"]["source_manifest"] and audit_file["inputs"]["inventories"] == [{"rows": 11, "accepted": 11}]
+    assert sum(audit_file["lane_counts"].values()) == 11 and audit_file["finding_counts"]["orphan_candidate"] == 3
+    listed = next(Path(told, "pages.csv").glob("part-*.csv")).read_text("utf-8-sig").splitlines()
+    assert [row.split(",")[0] for row in listed[1:]] == sorted(SITE[:-1] + p for p, _ in ROWS)
+    report = Path(told, "report.md").read_text()
+    assert sum(f"| {name} |" in report for name, _ in sinks.COVERAGE) == 19 and "<select" in Path(told, "dashboard.html").read_text()
+    sitemap.write_text(sitemap.read_text() + "\n")
+    assert main(check, spark) == 2
+    assert "SITEMAP_HASH_MISMATCH" in json.loads(Path(told, "decision.json").read_text())["blocker_codes"]
+
+
+def test_completeness_states():
+    full = {"declared": True, "source_universe_complete": True, "content_graph_complete": True, "release_gate_passed": True}
+    label = lambda **change: sinks.completeness(full | change)["label"]
+    assert [label(declared=False), label(source_universe_complete=False), label(source_universe_complete=False, discovered=2), label(content_graph_complete=False), label(), label(release_gate_passed=False)] == [
+        "sources not declared", "declared sources incomplete", "declared sources contradicted", "page content incomplete", "complete within the declared scope", "whole-site claims withheld"
+    ]
+
+
+def test_crawl_seeds(spark):
+    from sightline.operators.graph import crawl_seeds
+
+    known = spark.createDataFrame([("https://h/b",), ("https://h/",), ("https://h/a",), ("https://h/a",)], "url string")
+    assert [r.url for r in crawl_seeds(known, "https://h/b", 2).collect()] == ["https://h/b", "https://h/"]
+
+
 def test_overlapping_search_files(spark, tmp_path):
     one = write(tmp_path / "1.csv", "Page,Query,Clicks,Impressions,Position", f"{SITE}g,a,9,50,2")
     two = write(tmp_path / "2.csv", "Page,Query,Clicks,Impressions,Position", f"{SITE}g,b,3,100,5")
