@@ -3,13 +3,14 @@
 The tables hold no site audit, so operators meet tables that have their shape:
 ``pages`` as saved pages, ``documents`` as page texts (lang as language, source as
 lane), ``events`` and ``orders`` as exports and snapshots, ``lineitem`` as a graph.
+More of them are in ``site_queries``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline import config as C
@@ -17,6 +18,7 @@ from sightline.functions import text as T
 from sightline.functions import urls as U
 from sightline.functions.html import parse_page
 from sightline.operators import gates, graph, merge, similarity
+from sightline.operators.lineage import cut
 from sightline.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,16 +131,6 @@ def inbound_outbound(spark, sf_dir):
     return graph.counters(links.withColumn("target", target).where(T.bare_host(F.col("target")) == F.col("host")))
 
 
-@query()
-def anti_discovered(spark, sf_dir):
-    """Identities that links name and no page row declares."""
-    known = _site_pages(spark, sf_dir).select(F.col("id").alias("url"))
-    links = _page_links(spark, sf_dir)
-    target = U.normalize(F.col("target"), F.concat(F.lit("https://"), "host", F.lit("/")))
-    named = links.select("host", target.alias("url")).where((T.bare_host(F.col("url")) == F.col("host")) & T.is_page_like(F.col("url")))
-    return named.join(known, "url", "left_anti").groupBy("url").agg(F.count(F.lit(1)).alias("n_links"))
-
-
 @query(f"SELECT doc_id, len({_TOKENS.format('text')}) AS n_tokens, sha256(array_to_string({_TOKENS.format('text')}, ' ')) AS token_hash FROM documents")
 def tokenize_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t"))
@@ -161,8 +153,8 @@ def _hashed(spark, sf_dir):
     "SELECT text_hash, count(*) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM h GROUP BY 1 HAVING count(*) > 1"
 )
 def exact_duplicates(spark, sf_dir):
-    groups = similarity.exact_groups(_hashed(spark, sf_dir).where("text_hash <> ''"))
-    return groups.select("text_hash", F.size("urls").cast("long").alias("n_docs"), F.array_min("urls").alias("first_doc"), F.array_max("urls").alias("last_doc"))
+    members = similarity.exact_members(cut(_hashed(spark, sf_dir).select("url", "text_hash").where("text_hash <> ''")))
+    return members.groupBy("text_hash").agg(F.max("n").alias("n_docs"), F.min("url").alias("first_doc"), F.max("url").alias("last_doc"))
 
 
 _SEEDS = "[" + ", ".join(map(str, T.SEEDS)) + "]"
@@ -184,22 +176,24 @@ def near_duplicates_lsh(spark, sf_dir):
 
 
 def _topics(spark, sf_dir):
-    """A page's title, as signals: the first line of its text."""
-    rows = table(spark, sf_dir, "documents")
-    first = T.clean_signal(F.split(F.col("text"), "\n", 2)[0])
-    signals = rows.select(F.col("doc_id").alias("url"), F.col("lang").alias("language"), F.col("n_chars").cast("double").alias("shown"), T.signal_set(T.tokenize(first)).alias("tokens"))
+    """Signals of every saved page: its whole title and first heading, as parsed."""
+    rows = _site_pages(spark, sf_dir).withColumn("p", parse_page("html", "id"))
+    spoken = F.concat_ws(" ", T.clean_signal(F.col("p.title")), T.clean_signal(F.col("p.h1")))
+    signals = rows.select(F.col("page_id").alias("url"), F.col("p.lang").alias("language"), F.col("page_id").cast("double").alias("shown"), T.signal_set(T.tokenize(spoken)).alias("tokens"))
     return signals.where(F.size("tokens") >= 2)
 
 
-_LINE = "(CASE WHEN regexp_matches(trim(split_part(text, chr(10), 1)), '^(/|http://|https://)') OR len(regexp_extract_all(trim(split_part(text, chr(10), 1)), '%[0-9A-Fa-f]{{2}}')) >= 2 THEN '' ELSE trim(split_part(text, chr(10), 1)) END)"
-_TOPICS = f"WITH s AS (SELECT doc_id, lang, n_chars, {_SIGNALS.format(_LINE.format())} AS w FROM documents), g AS (SELECT * FROM s WHERE len(w) >= 2), e AS (SELECT doc_id, lang, unnest(w) AS token FROM g), d AS (SELECT token, count(*) AS df FROM e GROUP BY 1), c AS (SELECT greatest(200, floor(count(*) * 0.2)) AS ceiling FROM g) "
+_SPOKEN = f"({_TEXT.format('title')} || ' ' || {_TEXT.format('h1')})"
+_TOPICS = (
+    f"WITH s AS (SELECT page_id AS doc_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, page_id AS n_chars, {_SIGNALS.format(_SPOKEN.replace('{', '{{').replace('}', '}}'))} AS w FROM pages), g AS (SELECT * FROM s WHERE len(w) >= 2), e AS (SELECT doc_id, lang, unnest(w) AS token FROM g), "
+    "d AS (SELECT token, count(*) AS df FROM e GROUP BY 1), c AS (SELECT greatest(200, floor(count(*) * 0.2)) AS ceiling FROM g) "
+)
 
 
 @query(_TOPICS + "SELECT token, df FROM d, c WHERE df <= ceiling")
 def token_df_pruned(spark, sf_dir):
     signals = _topics(spark, sf_dir)
-    ceiling = signals.agg(F.greatest(F.lit(200), F.floor(F.count(F.lit(1)) * 0.2)).alias("ceiling"))
-    return similarity.token_frequency(signals).join(F.broadcast(ceiling), F.col("df") <= F.col("ceiling")).select("token", "df")
+    return similarity.retained(cut(signals)).where("retained").select("token", "df")
 
 
 @query(
@@ -306,23 +300,16 @@ def bfs_depth(spark, sf_dir):
     return graph.depths(edges, edges.select(F.col("target").alias("url")).distinct(), start)
 
 
-@query("SELECT p_partkey AS url FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 3)")
-def orphans(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("url"))
-    linked = table(spark, sf_dir, "lineitem").where("l_quantity < 3").select(F.col("l_partkey").alias("url"))
-    return part.join(linked, "url", "left_anti")
-
-
 @query(
-    "WITH t AS (SELECT p_partkey, CASE WHEN p_size < 5 THEN 404 WHEN p_size < 10 THEN 301 WHEN p_size < 12 THEN 0 ELSE 200 END AS status, p_size % 7 = 0 AS noindex FROM part), "
-    "l AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, status, noindex FROM lineitem JOIN t ON l_partkey = p_partkey) "
+    "WITH t AS (SELECT p_partkey, CASE WHEN p_size < 5 THEN 404 WHEN p_size < 10 THEN 301 WHEN p_size < 12 THEN 0 ELSE 200 END AS status, p_size % 7 = 0 AS noindex, p_size = 20 AS elsewhere FROM part), "
+    "l AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, status, noindex, elsewhere FROM lineitem JOIN t ON l_partkey = p_partkey) "
     "SELECT type, count(*) AS n FROM (SELECT 'broken_internal_link' AS type FROM l WHERE status >= 400 UNION ALL SELECT 'link_to_redirect' FROM l WHERE status BETWEEN 300 AND 399 "
-    "UNION ALL SELECT 'link_target_unverified' FROM l WHERE status = 0 UNION ALL SELECT 'link_to_noindex' FROM l WHERE noindex) GROUP BY 1"
+    "UNION ALL SELECT 'link_target_unverified' FROM l WHERE status = 0 UNION ALL SELECT 'link_to_noindex' FROM l WHERE noindex UNION ALL SELECT 'link_to_noncanonical' FROM l WHERE elsewhere) GROUP BY 1"
 )
 def broken_targets(spark, sf_dir):
     size = F.col("p_size")
     status = F.when(size < 5, 404).when(size < 10, 301).when(size < 12, 0).otherwise(200)
-    targets = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("url"), status.alias("status"), F.lit(False).alias("identity_redirect"), F.lit("").alias("final_url"), (size % 7 == 0).alias("noindex"), F.lit("").alias("canonical"))
+    targets = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("url"), status.alias("status"), F.lit(False).alias("identity_redirect"), F.lit("").alias("final_url"), (size % 7 == 0).alias("noindex"), F.when(size == 20, "p0").when(size == 21, F.concat(F.lit("p"), "p_partkey", F.lit("/"))).otherwise("").alias("canonical"))
     links = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.lit("part").alias("anchor"))
     return sinks.finding_counts(graph.link_findings(links, targets))
 
@@ -368,20 +355,6 @@ def csv_safe(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.csv_safe(F.col("text")).alias("safe"))
 
 
-@query("SELECT event_id, json_valid(props) AS valid, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
-def json_props(spark, sf_dir):
-    parsed = F.try_parse_json("props")
-    return table(spark, sf_dir, "events").select("event_id", parsed.isNotNull().alias("valid"), F.try_variant_get(parsed, "$.k", "bigint").alias("k"))
-
-
-@query("SELECT r_regionkey, (SELECT list_sort(list(n_name)) FROM nation WHERE n_regionkey = r_regionkey) = (SELECT list_sort(list(n_name)) FROM nation WHERE n_regionkey = 1) AS same FROM region")
-def multiset_equality(spark, sf_dir):
-    """Whether two bags of values agree, whatever their order."""
-    bags = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("bag"))
-    one = bags.where("n_regionkey = 1").select(F.col("bag").alias("one"))
-    return table(spark, sf_dir, "region").join(bags, F.col("r_regionkey") == F.col("n_regionkey"), "left").join(F.broadcast(one)).select("r_regionkey", (F.col("bag") == F.col("one")).alias("same"))
-
-
 def _event_findings(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     severity = F.when(F.col("value") > 50, "high").when(F.col("value") > 20, "medium").when(F.col("value") > 5, "low").otherwise("info")
@@ -407,14 +380,7 @@ def report_top25(spark, sf_dir):
 )
 def best_sources(spark, sf_dir):
     """The three best sources of each target."""
-    best = Window.partitionBy("l_partkey").orderBy(F.col("n").desc(), F.col("l_suppkey").desc())
     d = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    return d.withColumn("k", F.row_number().over(best)).where(F.col("k") <= C.BEST_SOURCES).drop("k")
+    return graph.best_sources(d, "l_partkey", "n", "l_suppkey").where(F.col("k") <= C.BEST_SOURCES).drop("k")
 
 
-@query()
-def exact_page_findings(spark, sf_dir):
-    """Equal page texts as findings, from parsed pages."""
-    rows = _site_pages(spark, sf_dir).withColumn("p", parse_page("html", "id"))
-    analyses = rows.select(F.col("page_id").cast("string").alias("url"), F.lit(200).alias("status"), F.lit(False).alias("noindex"), T.tokenize(F.col("p.content_text")).alias("tokens"))
-    return similarity.exact_findings(analyses).select("type", F.array_join("urls", ",").alias("urls"), "evidence")

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from sightline.plans import queries as site
+from sightline.plans import site_queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
