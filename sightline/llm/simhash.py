@@ -14,7 +14,7 @@ group costs a row for each fingerprint, not for each pair.
 bits. With ``similar`` set a link needs more: the Jaccard similarity of the two
 texts' five-word shingles, told by a sketch of 128 one-bit minima that travels
 with the fingerprint, must reach it but for SLACK (two and a half deviations of
-the sketch). ``representatives``, the pipeline's stage, works like that: pairs of
+the sketch); fingerprint and sketch then come from one hash of each word. ``representatives``, the pipeline's stage, works like that: pairs of
 two-word shingles and ``NEAR_BITS`` bits find what five-word similarity of 0.8
 then confirms.
 
@@ -89,23 +89,55 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int((counts * 2 > n).astype(np.uint64) @ (np.uint64(1) << np.arange(64, dtype=np.uint64)))
 
 
-#: Odd multipliers of the sketch's minima, by rule.
-_FACTORS = np.array([xxhash.xxh64_intdigest(bytes([k]), HASH_SEED) | 1 for k in range(SKETCH_BITS)], dtype=np.uint64)
+_MIX = np.array([xxhash.xxh64_intdigest(bytes([k]), HASH_SEED) | 1 for k in range(8)], dtype=np.uint64)
 
 
-def sketch(text: bytes, words: int = SKETCH_WORDS) -> np.ndarray:
-    """SKETCH_BITS bits as words of 64: one bit of the least of the shingles' hashes under each multiplier."""
-    least = np.full(SKETCH_BITS, ~np.uint64(0))
-    for h in _shingles(text, words):
-        h = np.unique(h)
-        for k in range(0, len(h), 4096):
-            part = h[k : k + 4096, None] * _FACTORS
-            part ^= part >> np.uint64(29)
-            least = np.minimum(least, part.min(axis=0))
-    bits = (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.uint8)
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _MIX[0]
+    return x ^ (x >> np.uint64(32))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w, HASH_SEED) for w in text.lower().split()], dtype=np.uint64)
+
+
+def shingle_hashes(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of runs of ``words`` words from the words' own; the whole sequence is the shingle of a shorter text."""
+    words = min(words, len(hashes))
+    if not words:
+        return hashes
+    n = len(hashes) - words + 1
+    total = hashes[:n] * _MIX[1]
+    for k in range(1, words):
+        total = total + hashes[k : k + n] * _MIX[1 + k]
+    return _scrambled(total)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS bits as words of 64, one from the least hash of each of as many bins of the shingles' hashes.
+
+    An empty bin takes the bit of the next one that is not, as one permutation hashing has it.
+    """
+    if not len(hashes):
+        return np.zeros(2, dtype=np.int64)
+    ordered = np.sort(hashes)
+    bins = (ordered >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
+    at = np.searchsorted(bins[first], np.arange(SKETCH_BITS)) % len(first)
+    bits = (_scrambled(ordered[first]) & np.uint64(1)).astype(np.uint8)[at]
     return np.packbits(bits).view(np.int64)
 
 
+def print_and_sketch(text: bytes, words: int) -> tuple[int, np.ndarray]:
+    """Fingerprint and sketch from one hash of each word, where the fingerprint need not be that of whole shingles' hashes."""
+    hashes = word_hashes(text)
+    h = shingle_hashes(hashes, words)
+    counts = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(h), SLICE):
+        counts += np.unpackbits(h[k : k + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int((counts * 2 > len(h)).astype(np.uint64) @ (np.uint64(1) << np.arange(64, dtype=np.uint64))), sketch(shingle_hashes(hashes, SKETCH_WORDS))
+
+
 def differing_bits(similar: float | None) -> int:
     """Bits in which two sketches may differ at most; all of them without a similarity."""
     return SKETCH_BITS if similar is None else int(SKETCH_BITS * (1 - similar + SLACK) / 2)
@@ -118,8 +150,9 @@ def fingerprints(docs: DataFrame, words: int = WORDS, sketched: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = texts(batch)
-            prints = np.array([fingerprint(t, words) for t in bodies], dtype=np.uint64).view(np.int64)
-            told = np.array([sketch(t) for t in bodies] if sketched else np.zeros((len(bodies), 2)), dtype=np.int64).reshape(-1, 2)
+            both = [print_and_sketch(t, words) if sketched else (fingerprint(t, words), (0, 0)) for t in bodies]
+            prints = np.array([p for p, _ in both], dtype=np.uint64).view(np.int64)
+            told = np.array([k for _, k in both], dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints), pa.array(told[:, 0].copy()), pa.array(told[:, 1].copy())], ["doc_id", "text_hash", "fp", "s0", "s1"])
 
     return packed(docs).drop("row").mapInArrow(run, "doc_id long, text_hash long, fp long, s0 long, s1 long")

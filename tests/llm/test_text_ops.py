@@ -119,6 +119,31 @@ def test_simhash(make_docs, odd_rows, task):
     assert sorted([(r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in got.collect()], key=str) == want
 
 
+def test_sketches_tell_similarity():
+    """Sketches of texts with known similarity of five-word shingles, and what the stage keeps of near copies."""
+    draw = np.random.default_rng(3)
+    for n, edits in ((2000, 20), (400, 4), (300, 60)):
+        words = [f"w{x}" for x in draw.integers(0, 5000, n)]
+        other = list(words)
+        for k in draw.permutation(n)[:edits]:
+            other[k] = "edited"
+        sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, other)]
+        true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        a, b = (simhash.sketch(simhash.shingle_hashes(simhash.word_hashes(" ".join(w).encode()), 5)).view(np.uint64) for w in (words, other))
+        told = 1 - 2 * int(np.bitwise_count(a ^ b).sum()) / simhash.SKETCH_BITS
+        assert abs(told - true) < 0.25
+
+
+def test_stage_links_near_copies_only(make_docs):
+    draw = np.random.default_rng(5)
+    texts = [[f"w{x}" for x in draw.integers(0, 3000, 300)] for _ in range(12)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    rows += [(100 + k, " ".join([*t[:150], "changed", *t[151:]])) for k, t in enumerate(texts)]  # similarity 0.97
+    rows += [(200 + k, " ".join(["other" if j % 6 == 0 else w for j, w in enumerate(t)])) for k, t in enumerate(texts)]  # far below 0.8
+    got = {r.doc_id for r in simhash.representatives(make_docs(rows)).collect()}
+    assert got >= {*range(12), *range(200, 212)} and len(got & set(range(100, 112))) <= 1
+
+
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=12), st.lists(st.tuples(st.integers(0, 11), st.integers(0, 63)), max_size=60))
 @settings(max_examples=60, deadline=None)
 def test_trie_walk(seeds, flips):
