@@ -129,7 +129,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert good == {d: t for d, t in start.items() if quality.score(model, quality.grams(t.encode(), model["vocabulary"])) >= quality.REJECT_BELOW}
     report = {r.doc_id: r.kept_sha256 for r in linededup.shared_lines(steps[0]).collect()}
     assert {d: hashlib.sha256(t.encode()).hexdigest() for d, t in lines.items()} == report
-    groups = {r.doc_id: r.component_id for r in simhash.near_copies(steps[1]).collect()}
+    groups = {r.doc_id: r.component_id for r in simhash.near_copies(steps[1], words=simhash.NEAR_WORDS, bits=simhash.NEAR_BITS, similar=simhash.SIMILAR).collect()}
     assert set(single) == {d for d, c in groups.items() if d == c} and all(single[d] == lines[d] for d in single)
     taken = {r.doc_id: r.taken for r in mixing.mix(steps[2]).collect()}
     assert {d: len(t.split()) for d, t in mixed.items()} == {d: n for d, n in taken.items() if n}
