@@ -231,10 +231,11 @@ def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
     rows = packed(docs).withColumn("source", F.col("row.source").cast("string")).select(*own, "text", "row")
     rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
     words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), 1)
-    piece = lambda r: F.rtrim(F.array_join(F.slice("_words", (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")), ""))
-    met = rows.join(plan, [*key, "_copy"]).withColumn("_words", F.when(F.size("ranges") > 0, words))
+    # Bound as the element of an array: as a column, the words would be moved into the inner lambda and split anew for every range.
+    pieces = F.transform(F.array(words), lambda w: F.transform("ranges", lambda r: F.rtrim(F.array_join(F.slice(w, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")), ""))))[0]
+    met = rows.join(plan, [*key, "_copy"])
     copies = F.array_repeat(F.col("text"), F.col("passes").cast("int"))
-    text = F.array_join(F.concat(copies, F.when(F.size("ranges") > 0, F.transform("ranges", piece)).otherwise(F.array().cast("array<string>"))), "\n")
+    text = F.array_join(F.concat(copies, F.when(F.size("ranges") > 0, pieces).otherwise(F.array().cast("array<string>"))), "\n")
     met = met.select("row", text.alias("text"))
     made = {"text": F.col("text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
