@@ -247,6 +247,11 @@ def test_mixed_texts(make_docs):
     assert out.dtypes == docs.dtypes
     for r in out.collect():
         assert len(WORD.findall(r.text)) == plan[r.doc_id].taken and r.n_chars == len(r.text)
+        whole = f"alpha{r.doc_id}  beta\tgamma\n" * 40
+        spaced = re.findall(r"[^ \t-\r]+[ \t-\r]*", whole)
+        told = plan[r.doc_id]
+        assert r.text == "\n".join([whole] * told.passes + ["".join(spaced[a:b]).rstrip(" ") for a, b in told.ranges])
+    assert any(len(r.ranges) for r in plan.values())
     assert {r.doc_id for r in out.collect()} == {d for d, r in plan.items() if r.taken}
     assert mixing.mix(make_docs([])).collect() == []
 
