@@ -9,10 +9,11 @@ occurrences that are long enough are repeated passages, which ``without_repeats`
 cuts out of the text. A passage may be glued of stretches that different rows
 keep; each of them is named with its keeper.
 
-One document's digests travel as arrays, written once to the shared folder.
-Counting them combines on the map side, so a passage that a third of all documents
-share is a row a task there; it then meets its keeper by a join of fixed-width
-rows, whose large partitions Spark's adaptive plan splits.
+One document's digests travel as arrays, written once to the shared folder. Rows
+of fixed width are then dealt by digest once, and each learns its digest's first
+row there. Digests that are frequent in a sample are not dealt: their first rows
+combine on the map side, a row a task, and are sent to where the occurrences are.
+The sample decides about the way only, the result is the same on both.
 
 ``passage_words`` is the least length of a run that is reported (PASSAGE_WORDS);
 0 reports every repeated chunk.
@@ -46,6 +47,9 @@ ONE_IN = 4
 #: Words of a run of repeated chunks that make it a passage.
 PASSAGE_WORDS = 16
 SEED = 5
+#: A digest with HOT_HITS among the sampled chunks, up to twice SAMPLE_ROWS, is hot; of these there are 2 * SAMPLE_ROWS / HOT_HITS, about, at most.
+SAMPLE_ROWS = 1 << 18
+HOT_HITS = 32
 #: The gear table: one 32-bit number for each byte, by rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), SEED) for b in range(256)], dtype=np.uint32)
 
@@ -112,7 +116,22 @@ def chunked(docs: DataFrame) -> DataFrame:
     return packed(docs).drop("row").mapInArrow(_chunked, "doc_id long, text_hash long, begin array<int>, end array<int>, words array<int>, d1 array<long>, d2 array<long>")
 
 
-def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+def _later(each: DataFrame, total: int, hot_hits: int) -> DataFrame:
+    """row, at, first of every occurrence but its digest's first; ``each`` has doc, row, at, d1, d2 for ``total`` occurrences."""
+    key, place = ["d1", "d2"], F.struct("doc", "row", "at")
+    one_in = max(1, total // SAMPLE_ROWS)
+    sample = each.where(F.pmod(F.xxhash64("row", "at", F.lit(SEED)), F.lit(one_in)) == 0)
+    hot = kept(sample.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_hits).select(*key), "hot")
+    order = Window.partitionBy(*key).orderBy("doc", "row", "at").rowsBetween(Window.unboundedPreceding, 0)
+    later = lambda df: df.where(place != F.col("first")).select("row", "at", "first")
+    if hot.isEmpty():
+        return later(each.withColumn("first", F.first(place).over(order)))
+    rare = each.join(F.broadcast(hot), key, "left_anti").withColumn("first", F.first(place).over(order))
+    firsts = kept(each.join(F.broadcast(hot), key).groupBy(*key).agg(F.min(place).alias("first")), "hot")
+    return later(rare).unionByName(later(each.join(F.broadcast(firsts), key)))
+
+
+def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS, hot_hits: int = HOT_HITS) -> DataFrame:
     """doc_id, text_hash, row, begin, n_bytes, n_words, first_doc_id, keepers for each repeated passage.
 
     ``begin`` and ``n_bytes`` are bytes of the text; ``first_doc_id`` is the
@@ -123,13 +142,11 @@ def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     # A written table rather than a checkpoint: encoded columns are a fraction of its size.
     table = kept(chunked(docs).withColumn("row", F.monotonically_increasing_id()), "chunks")
     # Nothing but keys is dealt by digest: no null doc_id needs a flag, as nulls take the largest number.
-    place = F.struct("doc", "row", "at")
     each = table.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "row", F.posexplode(F.arrays_zip("d1", "d2")).alias("at", "d"))
     each = each.select("doc", "row", "at", F.col("d.d1").alias("d1"), F.col("d.d2").alias("d2"))
-    firsts = each.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    met = each.join(firsts, ["d1", "d2"]).where(place != F.col("first"))
+    total = table.agg(F.sum(F.size("words"))).first()[0] or 0
     owner = F.when(F.col("first.doc") < F.lit(2**63 - 1), F.col("first.doc"))
-    again = met.select("row", "at", owner.alias("first_doc_id"), F.col("first.row").alias("first_row"))
+    again = _later(each, total, hot_hits).select("row", "at", owner.alias("first_doc_id"), F.col("first.row").alias("first_row"))
     lists = again.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "first_doc_id", "first_row"))).alias("again"))
     back = lists.join(table.select("row", "doc_id", "text_hash", "begin", "end", "words"), "row")
     # Neighbouring chunks have the same difference of chunk number and place in the list.

@@ -336,11 +336,12 @@ def plain_repeats(rows):
     return sorted(out, key=str)
 
 
-def test_chunking(make_docs, odd_rows):
+@pytest.mark.parametrize("hot_hits", [2, cdc.HOT_HITS])
+def test_chunking(make_docs, odd_rows, hot_hits):
     passage = " ".join(f"shared{k}" for k in range(60))
     rows = odd_rows + [(20 + k, f"start {k} of words alone {passage} and own{k} words at end") for k in range(6)] + [(40, "\n".join(passage.split()))]
     docs = make_docs(rows)
-    got = cdc.repeats(docs).select("doc_id", "begin", "n_bytes", "n_words", "first_doc_id").collect()
+    got = cdc.repeats(docs, hot_hits=hot_hits).select("doc_id", "begin", "n_bytes", "n_words", "first_doc_id").collect()
     assert sorted([tuple(r) for r in got], key=str) == plain_repeats(rows)
     assert {r.doc_id for r in got} >= {21, 22, 23, 24, 25, 40}
     out = cdc.without_repeats(docs)
