@@ -167,9 +167,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def shingles(tokens: Column, size: int = C.SHINGLE_TOKENS) -> Column:
+    """Every run of ``size`` tokens, repeats included."""
+
     def run(t: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(t) - size + 1)
-        return F.when(F.size(t) >= size, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(t, i, size), " "))))
+        at = F.sequence(F.lit(0), F.size(t) - size)
+        return F.when(F.size(t) >= size, F.transform(at, lambda i: F.concat_ws(" ", *[F.get(t, i + k) for k in range(size)])))
 
     return let(tokens, run)
 
@@ -182,12 +184,6 @@ def shingle_number(shingle: Column) -> Column:
 SEEDS = [((0x9E3779B97F4A7C15 * (k + 1)) & (2**64 - 1)) & (2**60 - 1) for k in range(C.MINHASH_SIZE)]
 
 
-def minhash(numbers: Column) -> Column:
-    """MINHASH_SIZE smallest values of the shingle numbers, each under its own XOR seed."""
-    seeds = F.array(*[F.lit(s).cast("long") for s in SEEDS])
-    return let(numbers, lambda n: F.transform(seeds, lambda s: F.array_min(F.transform(n, lambda v: v.bitwiseXOR(s)))))
-
-
 def signature_similarity(a: Column, b: Column) -> Column:
     same = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
     return F.aggregate(same, F.lit(0), lambda acc, x: acc + x) / F.size(a)

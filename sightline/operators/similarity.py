@@ -28,10 +28,18 @@ def exact_findings(analyses: DataFrame) -> DataFrame:
     return finding(exact_groups(exact_hash(analyses)), "exact_duplicate_candidate", "high", "candidate", urls=F.col("urls"), evidence=evidence)
 
 
-def signatures(pages: DataFrame, tokens: str = "tokens", least: int = C.MINHASH_TOKENS) -> DataFrame:
-    """The columns of ``pages`` and sig, for pages with enough tokens."""
-    numbers = F.transform(T.shingles(F.col(tokens)), T.shingle_number)
-    return pages.where(F.size(tokens) >= least).withColumn("_numbers", numbers).withColumn("sig", T.minhash(F.col("_numbers"))).drop("_numbers")
+def signatures(pages: DataFrame, key: str, within: list[str], tokens: str = "tokens", least: int = C.MINHASH_TOKENS) -> DataFrame:
+    """key, text_hash, the columns ``within`` and sig, for pages with enough tokens.
+
+    Shingles are rows: they are hashed and meet their minima in generated code, where
+    functions of arrays are interpreted. Minima combine before they are dealt, so
+    a page is a row of MINHASH_SIZE numbers in the shuffle, whatever its length.
+    """
+    own = [key, "text_hash", *within]
+    each = pages.where(F.size(tokens) >= least).select(*own, F.explode(T.shingles(F.col(tokens))).alias("_s"))
+    numbers = each.select(*own, T.shingle_number(F.col("_s")).alias("_v"))
+    least_of = [F.min(F.col("_v").bitwiseXOR(F.lit(s).cast("long"))).alias(f"_m{k}") for k, s in enumerate(T.SEEDS)]
+    return numbers.groupBy(*own).agg(*least_of).select(*own, F.array(*[F.col(f"_m{k}") for k in range(len(T.SEEDS))]).alias("sig"))
 
 
 def near_pairs(signed: DataFrame, key: str, threshold: float, within: list[str], most: int | None = None) -> DataFrame:
@@ -63,7 +71,7 @@ def near_pairs(signed: DataFrame, key: str, threshold: float, within: list[str],
 
 def near_findings(analyses: DataFrame, config: SiteConfig) -> DataFrame:
     page = analyses.where("status = 200 and not noindex").select("url", "lane", T.language_lane(F.col("url"), F.col("lang")).alias("language"), "tokens", T.text_hash(F.col("tokens")).alias("text_hash"))
-    pairs = near_pairs(signatures(page), "url", config.near_duplicate, ["lane", "language"], config.max_pairs)
+    pairs = near_pairs(signatures(page, "url", ["lane", "language"]), "url", config.near_duplicate, ["lane", "language"], config.max_pairs)
     evidence = F.concat(F.lit("MinHash similarity="), F.format_string("%.3f", "similarity"), F.lit("; read both before acting"))
     return finding(pairs, "near_duplicate_candidate", "medium", "candidate", source=F.col("left"), target=F.col("right"), evidence=evidence)
 

@@ -171,7 +171,7 @@ _SEEDS = "[" + ", ".join(map(str, T.SEEDS)) + "]"
     "SELECT l AS left_doc, r AS right_doc, round(similarity, 5)::DOUBLE AS similarity FROM q WHERE similarity >= 0.82"
 )
 def near_duplicates_lsh(spark, sf_dir):
-    pairs = similarity.near_pairs(similarity.signatures(_hashed(spark, sf_dir)), "url", C.NEAR_DUPLICATE, ["language"])
+    pairs = similarity.near_pairs(similarity.signatures(_hashed(spark, sf_dir), "url", ["language"]), "url", C.NEAR_DUPLICATE, ["language"])
     return pairs.select(F.col("left").alias("left_doc"), F.col("right").alias("right_doc"), F.round("similarity", 5).alias("similarity"))
 
 
