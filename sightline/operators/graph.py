@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sightline import config as C
 from sightline.config import SiteConfig
 from sightline.functions import text as T
-from sightline.operators.lineage import cut
+from sightline.operators.lineage import cut, stored
 from sightline.operators.pages import finding
 
 
@@ -56,20 +56,21 @@ def depths(edges: DataFrame, nodes: DataFrame, start: DataFrame, most: int = 10_
     """url, depth: fewest hops from ``start`` (url) over distinct edges (source, target) into ``nodes`` (url).
 
     A level a round: the frontier meets the edges and leaves what was seen. Edges are
-    dealt by source once and written so; a round reads them and the addresses seen so
-    far, shuffles what its frontier reaches, and writes the new level. More rounds
-    than ``most`` raise instead of giving a part of the depths.
+    dealt by source once. Levels are tables, so their sizes are known: a small one is
+    sent to the edges, a large one dealt like them. A round reads the edges and the
+    addresses seen so far, shuffles what its frontier reaches, and writes the new
+    level. More rounds than ``most`` raise instead of giving a part of the depths.
     """
     ways = cut(edges.select("source", "target").join(nodes.select(F.col("url").alias("target")), "target", "left_semi").distinct().repartition("source"))
-    seen = level = cut(start.select("url").distinct().select("url", F.lit(0).alias("depth")))
+    seen = level = stored(start.select("url").distinct().select("url", F.lit(0).alias("depth")), "level")
     for hop in range(1, most + 1):
         reached = ways.join(level.select(F.col("url").alias("source")), "source").select(F.col("target").alias("url")).distinct()
-        level = cut(reached.join(seen.select("url"), "url", "left_anti").select("url", F.lit(hop).alias("depth")))
+        level = stored(reached.join(seen.select("url"), "url", "left_anti").select("url", F.lit(hop).alias("depth")), "level")
         if level.isEmpty():
             return seen
         seen = seen.unionByName(level)
         if hop % 16 == 0:
-            seen = cut(seen)  # one table again
+            seen = stored(seen, "seen")  # one table again
     raise ValueError(f"the graph is deeper than {most} hops")
 
 

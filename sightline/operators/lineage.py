@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from uuid import uuid4
 
+from pyspark.sql import DataFrame, SparkSession
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written to the folder in spark.checkpoint.dir, which driver and executors share."""
-    spark = df.sparkSession
+
+def _shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written to the shared folder; how they are dealt stays known."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, written to the shared folder as a table: its size is known, so joins with it are planned rightly."""
+    spark = df.sparkSession
+    path = f"{_shared(spark)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
