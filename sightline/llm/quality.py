@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,8 @@ SHARES = (0.0, 0.01, 0.03, 0.1, 0.3, 0.6, 0.9)
 COST = 0.1
 EPOCHS = 30
 SEED = 10
+#: Text whose n-grams a training task lists at once; a longer text is listed alone.
+PIECE_BYTES = 256 << 10
 
 _CLASSES = bytearray(range(256))
 for _b in range(256):
@@ -72,19 +75,19 @@ def _shape(word: bytes) -> bytes:
 EMPTY = (b"", b"")
 
 
-def grams(text: bytes, vocabulary: frozenset | None = None) -> set:
-    """The n-grams that a text's indicators are about: words (bytes) and pairs of words, those of the vocabulary if one is given, and (shape, level).
+def grams(text: bytes, vocabulary: Vocabulary | None = None) -> set | np.ndarray:
+    """The n-grams that a text's indicators are about: words (bytes) and pairs of words, and (shape, level); the places of those in the vocabulary if one is given.
 
     A shape is a word's or a pair's; its level is how many of SHARES its share of the text's words exceeds.
     """
+    if vocabulary is not None:
+        return vocabulary.places(text)
     words = text.lower().split()
     n = len(words)
     if not n:
         return {EMPTY}
     found = set(words)
     found.update(zip(words, words[1:]))  # noqa: B905
-    if vocabulary is not None:
-        found &= vocabulary
     shapes = [_shape(w) for w in text.translate(_CLASSES).split()]
     for gram, c in [*Counter(shapes).items(), *Counter(zip(shapes, shapes[1:])).items()]:  # noqa: B905
         share = c / n
@@ -115,6 +118,69 @@ def decoded(code: bytes) -> object:
     return (shape if kind == b"s" else tuple(shape.split(b" "))), int(level)
 
 
+class Vocabulary:
+    """The places of coded n-grams in a list of them, held in arrays: each Python worker has its own, and 380,000 n-grams as Python objects take it 140 MB.
+
+    Words and shapes have numbers; a pair is a number too, found in a sorted array.
+    """
+
+    def __init__(self, names: list[bytes]) -> None:
+        told = [(code[:1], decoded(code), at) for at, code in enumerate(names)]
+        self.empty = [at for kind, gram, at in told if kind == b"b" and gram == EMPTY]
+        self.words, self.word_at = self._singles([(g, 0, at) for kind, g, at in told if kind == b"w"], [g for kind, g, _ in told if kind == b"b" and g != EMPTY], 1)
+        self.pairs, self.pair_at = self._pairs([(g, 0, at) for kind, g, at in told if kind == b"b" and g != EMPTY], self.words, 1)
+        self.shapes, self.shape_at = self._singles([(*g, at) for kind, g, at in told if kind == b"s"], [g[0] for kind, g, _ in told if kind == b"p"], len(SHARES))
+        self.shape_pairs, self.shape_pair_at = self._pairs([(*g, at) for kind, g, at in told if kind == b"p"], self.shapes, len(SHARES))
+
+    @staticmethod
+    def _singles(found: list[tuple[bytes, int, int]], pairs: list[tuple[bytes, bytes]], levels: int) -> tuple[dict[bytes, int], np.ndarray]:
+        """Numbers of words, those of pairs too, and by number and level the places (-1: none)."""
+        number = {g: k for k, g in enumerate(dict.fromkeys([*(g for g, _, _ in found), *(g for pair in pairs for g in pair)]))}
+        at = np.full((len(number), levels), -1, np.int32)
+        for g, level, place in found:
+            at[number[g], level] = place
+        return number, at
+
+    @staticmethod
+    def _pairs(found: list[tuple[tuple[bytes, bytes], int, int]], number: dict[bytes, int], levels: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of pairs, ascending, and by their rank and level the places (-1: none)."""
+        keys = np.array([number[a] * len(number) + number[b] for (a, b), _, _ in found], np.int64)
+        known, rank = np.unique(keys, return_inverse=True)
+        at = np.full((len(known), levels), -1, np.int32)
+        for r, (_, level, place) in zip(rank.tolist(), found, strict=True):
+            at[r, level] = place
+        return known, at
+
+    @staticmethod
+    def _met(ids: np.ndarray, width: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Single numbers of a text and their counts, then ranks of its known pairs and their counts."""
+        single, n_single = np.unique(ids[ids >= 0], return_counts=True)
+        both = (ids[:-1] >= 0) & (ids[1:] >= 0)
+        pair, n_pair = np.unique(ids[:-1][both] * width + ids[1:][both], return_counts=True)
+        rank = np.searchsorted(known, pair)
+        there = np.flatnonzero(rank < len(known))
+        there = there[known[rank[there]] == pair[there]]
+        return single, n_single, rank[there], n_pair[there]
+
+    def places(self, text: bytes) -> np.ndarray:
+        """The places of a text's n-grams, each once."""
+        words = text.lower().split()
+        n = len(words)
+        if not n:
+            return np.array(self.empty, np.int32)
+        ids = np.fromiter((self.words.get(w, -1) for w in words), np.int64, n)
+        single, _, pair, _ = self._met(ids, len(self.words), self.pairs)
+        del words
+        ids = np.fromiter((self.shapes.get(_shape(w), -1) for w in text.translate(_CLASSES).split()), np.int64, n)
+        shape, n_shape, shape_pair, n_shape_pair = self._met(ids, len(self.shapes), self.shape_pairs)
+        found = [self.word_at[single].ravel(), self.pair_at[pair].ravel()]
+        for at, c in ((self.shape_at[shape], n_shape), (self.shape_pair_at[shape_pair], n_shape_pair)):
+            # As many levels as there are SHARES below the share.
+            found.append(at[np.arange(len(SHARES)) < np.searchsorted(SHARES, c / n)[:, None]])
+        found = np.concatenate(found)
+        return found[found >= 0]
+
+
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, width: int, smooth: float = 1.0) -> np.ndarray:
     """log of (share of an indicator in class 1 / its share in class 0), smoothed."""
     p, q = (np.bincount(np.concatenate([np.zeros(0, np.int64), *[r for r, v in zip(rows, y, strict=True) if v == side]]).astype(np.int64), minlength=width) + smooth for side in (1, -1))
@@ -173,7 +239,7 @@ def fitted(rows: list, labels: list[int], names: list[bytes]) -> dict:
     y = np.array([1 if label else -1 for label in labels])
     if len(set(y.tolist())) < 2:
         share = (float((y > 0).mean()) * len(y) + 1) / (len(y) + 2) if len(y) else 0.5
-        return {"weights": {}, "vocabulary": frozenset(), "bias": 0.0, "a": 0.0, "b": math.log(share / (1 - share))}
+        return {"weights": np.zeros(0), "squares": np.zeros(0), "vocabulary": Vocabulary([]), "bias": 0.0, "a": 0.0, "b": math.log(share / (1 - share))}
     rows, known = [np.array(r, dtype=np.int64) for r in rows], names
     cost = np.where(y > 0, COST * len(y) / (2 * (y > 0).sum()), COST * len(y) / (2 * (y < 0).sum()))
 
@@ -200,14 +266,13 @@ def fitted(rows: list, labels: list[int], names: list[bytes]) -> dict:
             margins[i] = margin(i, *model)
     a, b = logistic_fit(margins, y)
     ratios, w = trained(np.arange(len(y)))
-    weights = {decoded(g): (float(w[k] * ratios[k]), float(ratios[k] ** 2)) for k, g in enumerate(names)}
-    return {"vocabulary": frozenset(g for g in weights if isinstance(g, bytes) or isinstance(g[1], bytes)), "weights": weights, "bias": float(w[-1]), "a": a, "b": b}
+    return {"vocabulary": Vocabulary(names), "weights": w[:-1] * ratios, "squares": ratios**2, "bias": float(w[-1]), "a": a, "b": b}
 
 
-def score(model: dict, found: set) -> float:
-    # fsum is exact, so the sums do not hang on a set's order.
-    told = [model["weights"][g] for g in found & model["weights"].keys()]
-    m = math.fsum(w for w, _ in told) / max(math.sqrt(math.fsum(r for _, r in told)), 1e-9) + model["bias"]
+def score(model: dict, found: np.ndarray) -> float:
+    """The score of a text by the places of its n-grams."""
+    # fsum is exact, so the sums do not hang on the order.
+    m = math.fsum(model["weights"][found].tolist()) / max(math.sqrt(math.fsum(model["squares"][found].tolist())), 1e-9) + model["bias"]
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, model["a"] * m + model["b"]))))
 
 
@@ -231,8 +296,22 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [list(map(coded, grams(t))) for t in texts(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(found, pa.list_(pa.binary()))], ["doc_id", "y", "grams"])
+        found, size, first = [], 0, 0
+        for k, t in enumerate(texts(batch), 1):
+            found.append(list(map(coded, grams(t))))
+            size += len(t)
+            if size >= PIECE_BYTES or k == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(2)[first:k], batch.column(1)[first:k], pa.array(found, pa.list_(pa.binary()))], ["doc_id", "y", "grams"])
+                found, size, first = [], 0, k
+
+
+def _numbered(column: pa.Array, names: pa.Array) -> pa.Array:
+    """Lists of n-grams as ascending lists of their places in ``names``, those that are there."""
+    place = pc.index_in(column.flatten(), value_set=names).fill_null(-1).to_numpy()
+    row = np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy())
+    row, place = row[place >= 0], place[place >= 0]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(column)))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[np.lexsort((place, row))], pa.int32()))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held: int = 2, rows: int = TRAIN_ROWS) -> dict:
@@ -240,20 +319,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
     spark = prepare(docs.sparkSession)
     drawn = kept(sample(docs, labels, label, parts, held, rows).mapInArrow(_gram_rows, "doc_id long, y int, grams array<binary>"), "grams")
     shared = drawn.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS)
-    names = sorted(shared.select("g").toArrow().column("g").to_pylist())
+    names = pa.array(sorted(shared.select("g").toArrow().column("g").to_pylist()), pa.binary())
     # Bounded by the sample: what TRAIN_ROWS documents share.
     sent = spark.sparkContext.broadcast(names)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {g: k for k, g in enumerate(sent.value)}
         for batch in batches:
-            at = [sorted(place[g] for g in found if g in place) for found in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32()))], ["doc_id", "y", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _numbered(batch.column(2), sent.value)], ["doc_id", "y", "at"])
 
     got = drawn.mapInArrow(numbered, "doc_id long, y int, at array<int>").toArrow().combine_chunks().sort_by("doc_id")
     column = got.column("at").combine_chunks()
     at, ends = (column.values.to_numpy(), column.offsets.to_numpy()) if got.num_rows else ([], [0])
-    model = fitted([at[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], got.column("y").to_pylist(), names)
+    model = fitted([at[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], got.column("y").to_pylist(), names.to_pylist())
     sent.unpersist()
     return model
 

@@ -1,7 +1,9 @@
 """Operators on documents against plain versions, with the odd cases of every table."""
 
 import hashlib
+import pickle
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -659,6 +661,41 @@ def test_grams_are_coded_reversibly(text):
     assert {quality.decoded(quality.coded(g)) for g in found} == found and len(set(map(quality.coded, found))) == len(found)
 
 
+@given(st.lists(st.lists(st.sampled_from(["Plain", "JUNK!!", "a1", "é", "word", "wooord"]), max_size=9).map(" ".join), min_size=1, max_size=4), st.data())
+@settings(max_examples=100, deadline=None)
+def test_places_are_those_of_the_grams(texts, data):
+    """A vocabulary may lack any of a text's n-grams, and hold a pair without its words."""
+    every = sorted({quality.coded(g) for t in texts for g in quality.grams(t.encode())})
+    names = sorted(data.draw(st.sets(st.sampled_from(every))))
+    held = quality.Vocabulary(names)
+    for t in [*texts, "", "word strange Plain JUNK!! word word"]:
+        places = held.places(t.encode()).tolist()
+        assert len(set(places)) == len(places) and {names[k] for k in places} == {quality.coded(g) for g in quality.grams(t.encode())} & set(names)
+
+
+def test_a_quality_model_takes_a_worker_little_memory():
+    """Every Python worker holds the model: as many bytes an n-gram as its array rows and words need, not as Python objects take."""
+    docs = [(" ".join(f"{'good' if k % 2 else 'bad'}{(k // 4 * 300 + j * 7) % 9000} common{j}" for j in range(600)), k % 2) for k in range(48)]
+    sent = pickle.dumps(quality.fit([(quality.grams(t.encode()), y) for t, y in docs]), protocol=5)
+    tracemalloc.start()
+    model = pickle.loads(sent)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(model["weights"]) > 5_000 and held < 200 * len(model["weights"])
+
+
+def test_a_training_task_lists_few_grams_at_once():
+    rows = [(" ".join(f"w{k}x{j}" for j in range(8_000)), k % 2, k) for k in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["text", "y", "_id"])
+    got = list(quality._gram_rows(iter([batch, batch.slice(0, 0)])))
+    assert len(got) > 2 and max(b.num_rows for b in got) < 6
+    assert [(i, y, set(g)) for b in got for i, y, g in zip(*(c.to_pylist() for c in b.columns), strict=True)] == [(k, y, {quality.coded(g) for g in quality.grams(t.encode())}) for t, y, k in rows]
+    names = sorted(quality.coded(g) for g in quality.grams(rows[3][0].encode()))[::2]
+    at = [r for b in got for r in quality._numbered(b.column(2), pa.array(names, pa.binary())).to_pylist()]
+    found = [{quality.coded(g) for g in quality.grams(t.encode())} for t, _, _ in rows]
+    assert at == [[k for k, g in enumerate(names) if g in have] for have in found]
+
+
 def test_repeated_ids_train_once(make_docs, spark):
     docs = make_docs([(1, f"text number {k}") for k in range(50)] + [(k, f"other {k}") for k in range(2, 20)])
     labels = spark.createDataFrame([(k, k % 2) for k in range(1, 20)], "doc_id long, quality int")
