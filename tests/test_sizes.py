@@ -17,7 +17,7 @@ def pages(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["page_title_h1", "token_df_pruned"])
+@pytest.mark.parametrize("name", ["page_title_h1", "token_df_pruned", "topic_overlap_pairs"])
 def test_references_as_in_sql(spark, pages, name):
     import duckdb
 
