@@ -1,4 +1,4 @@
-"""Cutting lineage: plans that many later plans read are written once to the shared folder."""
+"""Sessions of plans: lineage cut by writing what many later plans read once to the shared folder, and batches bounded in bytes."""
 
 from __future__ import annotations
 
@@ -7,6 +7,21 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch: Python holds a few copies of one batch, never of 10,000 pages.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, whose Arrow batches hold BATCH_BYTES at most; a smaller bound that it has stays."""
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    given = spark.conf.get(_BATCH, "64m").lower().rstrip("b")
+    own = int(given.rstrip("kmg") or 0) * units.get(given[-1:], 1)
+    if not 0 < own <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return spark
+
+
 def _shared(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share."""
     if spark.sparkContext.getCheckpointDir() is None:

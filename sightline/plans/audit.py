@@ -13,7 +13,7 @@ from sightline.config import SiteConfig
 from sightline.functions import text as T
 from sightline.functions import urls as U
 from sightline.operators import gates, graph, merge, pages, similarity
-from sightline.operators.lineage import cut
+from sightline.operators.lineage import bounded, cut
 from sightline.sources import manifest, sinks
 from sightline.sources.exports import document_value, exact, inventory_rows, is_table, json_rows, table_rows
 from sightline.sources.sitemaps import load_sitemaps
@@ -84,6 +84,7 @@ def page_cache(spark: SparkSession, path: str, site: str) -> DataFrame:
 
 def audit(spark: SparkSession, config: SiteConfig, inventories: list[str], sitemaps: list[str] = (), cache_path: str | None = None, manifest_path: str | None = None) -> Audit:
     """Run an audit over files. Only counts, gates and samples come to the driver."""
+    bounded(spark)
     site = U.identity(config.site, config.site)
     config = SiteConfig(**{**asdict(config), "site": site})
     declared = [inventory_records(inventory_rows(spark, p), site, k) for k, p in enumerate(inventories)]
@@ -110,6 +111,7 @@ def audit(spark: SparkSession, config: SiteConfig, inventories: list[str], sitem
 
 def run(spark: SparkSession, config: SiteConfig, records: DataFrame, cache: DataFrame | None, universe: manifest.Universe, unresolved: int = 0, hashes: dict | None = None, inputs: dict | None = None) -> Audit:
     """The audit over DataFrames: records (KNOWN) and snapshots."""
+    bounded(spark)
     site = config.site
     if cache is None:
         cache = spark.createDataFrame([], "url string, status int, final_url string, html string, html_complete boolean, truncated boolean, conflicting_snapshots boolean")

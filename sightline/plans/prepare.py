@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sightline.functions import urls as U
 from sightline.operators import merge
 from sightline.operators.adapt import adapt, distinct_rows
-from sightline.operators.lineage import cut
+from sightline.operators.lineage import bounded, cut
 from sightline.sources import exports, sinks
 from sightline.sources.sitemaps import inspect_sitemap
 
@@ -46,6 +46,7 @@ def prepare(
     declare_complete: bool = False,
 ) -> Prepared:
     """Read (kind, path) sources in order and merge them; files are inspected, rows stay distributed."""
+    bounded(spark)
     site = U.export_identity(site, site) or ""
     if not site:
         raise ValueError("site must be an absolute HTTP(S) URL")

@@ -1,8 +1,12 @@
 """Queries on rows that the smallest tables lack, and what must not grow with the tables."""
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from sightline.functions.html import parse_page
+from sightline.operators.lineage import BATCH_BYTES
 from sightline.plans import queries as site
 
 PAGES = [
@@ -10,6 +14,8 @@ PAGES = [
     for k, title in enumerate(["Ropes &amp; &quot;knots&quot;", "Ropes knots &amp", "Ropes &amp;lt; &lt;knots&gt; &#39;a", "Ropes && knots&amp;&amp"])
 ]
 
+BOUNDED = ["inbound_outbound"]
+
 
 @pytest.fixture()
 def pages(spark, tmp_path):
@@ -26,3 +32,20 @@ def test_references_as_in_sql(spark, pages, name):
     found = entry.queries()[name](spark, pages)
     want = duck.execute(site.ORACLE[name]).fetchdf()[found.columns]
     assert len(want) and sorted(map(tuple, found.collect())) == sorted(want.itertuples(index=False, name=None))
+
+
+def test_facts_told_in_pieces():
+    """Facts of a batch are never all Python objects at once."""
+    html = pd.Series(["<p>" + "x" * 100_000] * 50 + [None, ""])
+    told = [len(x) for x in parse_page.func(iter([(html, html)]))]
+    assert sum(told) == len(html) and max(told) <= 4
+
+
+@pytest.mark.parametrize("name", BOUNDED)
+def test_bytes_of_a_batch(spark, name):
+    """Python gets a batch of bounded bytes, whatever number of rows the tables have."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    entry.queries()[name](spark, "/root/testdata/sf0.001")
+    size = F.pandas_udf(lambda text: pd.Series([int(text.str.len().sum())] * len(text)), "long")
+    seen = spark.range(0, 400, 1, 1).select(size(F.repeat(F.lit("x"), 100_000)).alias("n")).agg(F.max("n")).first()[0]
+    assert 0 < seen <= BATCH_BYTES + 100_000
