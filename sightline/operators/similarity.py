@@ -25,7 +25,7 @@ def exact_groups(hashed: DataFrame) -> DataFrame:
 
 def exact_findings(analyses: DataFrame) -> DataFrame:
     evidence = F.concat(F.lit("equal text, sha256="), F.substring("text_hash", 1, 16))
-    return finding(exact_groups(exact_hash(analyses)), "exact_duplicate_candidate", "high", "candidate", urls=F.col("urls"), evidence=evidence)
+    return finding(exact_groups(cut(exact_hash(analyses))), "exact_duplicate_candidate", "high", "candidate", urls=F.col("urls"), evidence=evidence)
 
 
 def signatures(pages: DataFrame, key: str, within: list[str], tokens: str = "tokens", least: int = C.MINHASH_TOKENS) -> DataFrame:
