@@ -14,7 +14,7 @@ PAGES = [
     for k, title in enumerate(["Ropes &amp; &quot;knots&quot;", "Ropes knots &amp", "Ropes &amp;lt; &lt;knots&gt; &#39;a", "Ropes && knots&amp;&amp"])
 ]
 
-BOUNDED = ["inbound_outbound", "exact_text_findings", "exact_duplicates", "anchor_generic", "signal_tokens"]
+BOUNDED = ["inbound_outbound", "exact_text_findings", "exact_duplicates", "anchor_generic", "signal_tokens", "discovered_pages"]
 
 
 @pytest.fixture()
