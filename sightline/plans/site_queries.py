@@ -383,7 +383,10 @@ def structured_data_findings(spark, sf_dir):
         .when(k % 6 == 3, F.lit('{"@context": "x", "@type": "Thing", "headline": "something different"}')).when(k % 6 == 4, F.lit(" ")).otherwise(F.lit('{"@context": "x", "@type": "Thing", "url": "https://a.example/"}'))
     )
     html = F.concat(F.lit("<html><head><script type='application/ld+json'>"), block, F.lit("</script></head><body><h1>Quiet harbor lamps</h1></body></html>"))
-    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("https://shop.example/"), k).alias("url"), html.alias("html")).withColumn("p", parse_page("html", "url"))
+    # Events are few bytes in few files, the pages made of them many: they are dealt before they are parsed.
+    events = table(spark, sf_dir, "events").select("event_id")
+    events = events.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "event_id")
+    rows = events.select(F.concat(F.lit("https://shop.example/"), k).alias("url"), html.alias("html")).withColumn("p", parse_page("html", "url"))
     analyses = rows.select("url", F.col("p.title").alias("title"), F.col("p.h1").alias("h1"), F.lit(True).alias("html_available"), F.col("p.blocks").alias("blocks"), F.col("p.warning").alias("warning"))
     return sinks.finding_counts(pages.parse_findings(analyses, SiteConfig(SITE)))
 

@@ -14,7 +14,7 @@ PAGES = [
     for k, title in enumerate(["Ropes &amp; &quot;knots&quot;", "Ropes knots &amp", "Ropes &amp;lt; &lt;knots&gt; &#39;a", "Ropes && knots&amp;&amp"])
 ]
 
-BOUNDED = ["inbound_outbound", "exact_text_findings", "exact_duplicates", "anchor_generic", "signal_tokens", "discovered_pages"]
+BOUNDED = ["inbound_outbound", "exact_text_findings", "exact_duplicates", "anchor_generic", "signal_tokens", "discovered_pages", "near_duplicates_lsh"]
 
 
 @pytest.fixture()
@@ -49,3 +49,9 @@ def test_bytes_of_a_batch(spark, name):
     size = F.pandas_udf(lambda text: pd.Series([int(text.str.len().sum())] * len(text)), "long")
     seen = spark.range(0, 400, 1, 1).select(size(F.repeat(F.lit("x"), 100_000)).alias("n")).agg(F.max("n")).first()[0]
     assert 0 < seen <= BATCH_BYTES + 100_000
+
+
+def test_findings_parse_pages_once(spark):
+    """However many kinds of findings there are, a page is parsed once, and many tasks parse."""
+    plan = entry.queries()["structured_data_findings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parse_page(") == 1 and "REPARTITION_BY_NUM" in plan
